@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.numeric import annualise, daily_rate, growth_rate, safe_divide, stddev_from, years_between
 from ..functions.ranking import with_percentile_rank
+from ..session import cut_lineage
 from . import peers
 from .series import by_date, read_offsets, window_drawdown, with_returns
 
@@ -252,5 +253,5 @@ def with_peer_rank(rows: DataFrame, min_count: int = 3) -> DataFrame:
 def feature_panel(nav: DataFrame, manifest: DataFrame, pairs: DataFrame, days: int = K.TRADING_DAYS) -> DataFrame:
     """The full 40-column panel for distinct (fund, anchor) pairs."""
     wanted = pairs.select("fund_id", "anchor").distinct().join(nav.select("fund_id").distinct(), "fund_id", "left_semi")
-    rows = feature_rows(nav, manifest, wanted, days)
+    rows = cut_lineage(feature_rows(nav, manifest, wanted, days))
     return with_z_scores(with_peer_rank(rows), cross_section_stats(rows)).select("fund_id", "anchor", "gkey", *K.FEATURES)

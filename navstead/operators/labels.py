@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.ranking import group_quantiles
+from ..session import cut_lineage
 from . import peers
 
 
@@ -32,8 +33,8 @@ def build_labels(
         keyed = keyed.withColumn("bench_name", peers.benchmark_name("category", "sector"))
     else:
         keyed = keyed.join(bench_names.select("fund_id", F.col("name").alias("bench_name")), "fund_id", "left")
-    fwd = peers.forward_returns(nav, pairs, "fund_id", "nav").join(
-        keyed.select("fund_id", "gkey", "group_kind", "bench_name", "scheme_name", "category", "sector"), "fund_id")
+    fwd = cut_lineage(peers.forward_returns(nav, pairs, "fund_id", "nav").join(
+        keyed.select("fund_id", "gkey", "group_kind", "bench_name", "scheme_name", "category", "sector"), "fund_id"))
     asked = fwd.select(F.col("bench_name").alias("name"), "anchor").where(F.col("name").isNotNull()).distinct()
     real = peers.real_index_forward(bench, bench_meta, asked, asked).withColumnRenamed("name", "bench_name")
     rows = peers.peer_median(fwd).join(real, ["bench_name", "anchor"], "left")

@@ -11,6 +11,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 # --- Fixed values: settings of the derived series ----------------------------------
 OBS_PER_YEAR = 80
 TODAY = dt.date(2001, 11, 15)
@@ -44,16 +46,21 @@ def _steps(lines: DataFrame, key: str) -> DataFrame:
         (F.sum(cents) - F.count(F.lit(1)) * 5).alias("step"))
 
 
-def nav(spark: SparkSession, sf: str, with_k: bool = False) -> DataFrame:
+@stored
+def nav_rows(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").cast("string").alias("fund_id"), "l_shipdate", "l_discount")
-    out = _levels(_steps(lines, "fund_id"), "fund_id", "nav")
-    return out if with_k else out.drop("k")
+    return _levels(_steps(lines, "fund_id"), "fund_id", "nav")
+
+
+def nav(spark: SparkSession, sf: str) -> DataFrame:
+    return nav_rows(spark, sf).drop("k")
 
 
+@stored
 def dirty_nav(spark: SparkSession, sf: str) -> DataFrame:
     """Prices with injected bad prints, and payouts on every tenth fund."""
-    rows = nav(spark, sf, with_k=True)
+    rows = nav_rows(spark, sf)
     key = F.col("fund_id").cast("bigint")
     payout = key % 10 == 3
     bad = F.when((key * 31 + F.col("k")) % 97 == 0, 1.13).otherwise(1.0)
@@ -61,6 +68,7 @@ def dirty_nav(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("fund_id", "dt", (F.col("nav") * bad * paid).alias("nav"), payout.alias("is_payout_plan"))
 
 
+@stored
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
     s, n, r = (table(spark, sf, t) for t in ("supplier", "nation", "region"))
     sectoral = F.col("r_name").isin(*SECTOR_REGIONS)
@@ -88,6 +96,7 @@ def fund_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return funds.select("fund_id", F.explode(months).alias("m")).select("fund_id", F.last_day("m").alias("anchor"))
 
 
+@stored
 def bench(spark: SparkSession, sf: str) -> DataFrame:
     """Regional index levels and one all-market series."""
     funds = manifest(spark, sf).where(F.col("region") != NO_SERIES_REGION).select("fund_id", F.col("region").alias("name"))
@@ -118,6 +127,7 @@ def quarter_end(ship: str = "l_shipdate"):
     return F.last_day(F.add_months(F.trunc(F.to_date(ship), "quarter"), 2))
 
 
+@stored
 def holdings(spark: SparkSession, sf: str) -> DataFrame:
     """One book per fund and quarter, its lines weighted by extended price."""
     value = table(spark, sf, "lineitem").groupBy("l_suppkey", quarter_end().alias("as_of"), "l_partkey").agg(
@@ -146,6 +156,7 @@ def holdings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def order_books(spark: SparkSession, sf: str) -> DataFrame:
     """Small concentrated books: an order is a fund, its lines are issuers."""
     li = table(spark, sf, "lineitem")
@@ -161,6 +172,7 @@ def order_books(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def daily_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Weights per fund and ship date; a ticker is a brand."""
     p = table(spark, sf, "part").select("p_partkey", "p_brand")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.ranking import group_quantiles, loo_median, with_percentile_rank
 from ..operators import features, labels, peers, series
-from ..session import cut_lineage
+from ..session import stored
 from . import fixtures as X
 from .oracle import define, r6, sql
 from .registry import query, rounded
@@ -125,6 +125,7 @@ def _(spark, sf):
     return rounded(peers.peer_median(fwd), 8)
 
 
+@stored
 def label_rows(spark, sf):
     return labels.build_labels(
         X.nav(spark, sf), X.manifest(spark, sf), X.fund_anchors(spark, sf), X.bench(spark, sf), X.bench_meta(spark, sf),
@@ -289,6 +290,7 @@ define("panel", f"""
 _cols = ", ".join(f"{r6(c)} {c}" for c in K.FEATURES)
 
 
+@stored
 def panel(spark, sf):
     return features.feature_panel(X.nav(spark, sf), X.manifest(spark, sf), X.fund_anchors(spark, sf), D)
 

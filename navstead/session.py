@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +33,40 @@ def local_session(cores: int | str = "*", app: str = "navstead") -> SparkSession
     return spark
 
 
+_SCRATCH: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a throw-away one if it names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    app = spark.sparkContext.applicationId
+    if not named:
+        named = _SCRATCH.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
+    return f"{named}/navstead-{app}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+    """Write a stage boundary to the shared folder and read it back.
 
-    A throw-away folder is used only when the session names none, which happens in tests.
+    Used where a result feeds several branches: it is computed once, survives lost executors,
+    and keeps later plans short.  Parquet keeps column pruning and size statistics.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A derived table written once per application and input folder."""
+
+    @functools.wraps(build)
+    def get(spark: SparkSession, source: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, source, f"{build.__module__}.{build.__qualname__}")
+        if key not in _TABLES:
+            _TABLES[key] = cut_lineage(build(spark, source))
+        return _TABLES[key]
+
+    return get
