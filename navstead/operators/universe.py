@@ -98,23 +98,30 @@ def rule_category(raw: Column | str) -> Column:
 
 
 # --- entity resolution ---------------------------------------------------------------
+def _grams(text: Column) -> Column:
+    """Distinct substrings of one to three characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    pieces = F.transform(starts, lambda i: F.transform(F.array(*[F.lit(n) for n in (1, 2, 3)]), lambda n: F.substr(text, i, n)))
+    return F.array_distinct(F.flatten(pieces))
+
+
 def _token_hits(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """Names that contain every query token, through the longest token's trigrams.
+    """Names that contain every query token.
 
-    A name that contains a token contains the token's first trigram, so the candidates come from
-    an equi join on that trigram instead of comparing every query with every name.
+    A name that contains a token contains every three letters in a row of it.  Each query is
+    matched through its rarest such piece in an equi join, so a word that most names share
+    never pairs all of them with all queries.
     """
     tokens = F.filter(F.split(F.upper(F.trim("q")), r"\s+"), lambda t: t != "")
-    longest = F.element_at(F.array_sort(tokens, lambda a, b: F.length(b) - F.length(a)), 1)
-    asked = queries.withColumn("_toks", tokens).withColumn("_long", longest).where(F.length("_long") >= 1)
-    width = F.least(F.length("_long"), F.lit(3))
-    asked = asked.withColumn("_gram", F.substr(F.col("_long"), F.lit(1), width))
-    upper = names.withColumn("_up", F.upper("scheme_name"))
-    grams = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_up"), F.lit(1))),
-        lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(F.col("_up"), i, n)))))
-    indexed = upper.withColumn("_gram", F.explode(grams))
-    return asked.join(indexed, "_gram").where(F.forall("_toks", lambda t: F.contains(F.col("_up"), t))).drop("_gram", "_toks", "_long", "_up")
+    widest = F.transform(tokens, lambda t: F.filter(_grams(t), lambda g: F.length(g) == F.least(F.length(t), F.lit(3))))
+    asked = queries.withColumn("_toks", tokens).where(F.size("_toks") > 0)
+    pieces = asked.select("query_id", F.explode(F.array_distinct(F.flatten(widest))).alias("_gram"))
+    indexed = names.withColumn("_up", F.upper("scheme_name")).withColumn("_gram", F.explode(_grams(F.col("_up"))))
+    spread = indexed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = pieces.join(spread, "_gram", "left").groupBy("query_id").agg(
+        F.min_by("_gram", F.struct(F.coalesce("_df", F.lit(0)), F.col("_gram"))).alias("_gram"))
+    hits = asked.join(rarest, "query_id").join(indexed, "_gram")
+    return hits.where(F.forall("_toks", lambda t: F.contains(F.col("_up"), t))).drop("_gram", "_toks", "_up")
 
 
 def resolve_curated(queries: DataFrame, manifest: DataFrame) -> DataFrame:
