@@ -53,7 +53,7 @@ def _state(nav: DataFrame, members: DataFrame, pairs: DataFrame, days: int, rate
     own = _own_rows(nav, days)
     returns = own.where(F.col("r").isNotNull()).select("fund_id", "dt", "r")
     group = peers.peer_days(returns, members).select(
-        "fund_id", F.col("dt").alias("_t"), F.lit(1).alias("_kind"), "total", "n")
+        "fund_id", F.col("dt").alias("_t"), F.lit(1).alias("_kind"), "total", "n", "is_ref")
     events = own.unionByName(group, allowMissingColumns=True).unionByName(_probes(pairs), allowMissingColumns=True)
     running = Window.partitionBy("fund_id").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     last_own = F.last(F.when(F.col("_kind") == 0, F.struct("dt", "nav", "r")), ignorenulls=True).over(running)
@@ -61,7 +61,8 @@ def _state(nav: DataFrame, members: DataFrame, pairs: DataFrame, days: int, rate
     same_day = F.when((F.col("_kind") == 1) & (F.col("own.dt") == F.col("_t")), F.col("own.r"))
     seen = (
         seen.withColumn("f", same_day)
-        .withColumn("c", F.when(F.col("_kind") == 1, peers.loo_return(F.col("total"), F.col("n"), same_day)))
+        .withColumn("c", F.when(F.col("_kind") == 1, peers.loo_return(
+            F.col("total"), F.col("n"), F.when(F.col("is_ref"), same_day))))
     )
     own_r = F.when(F.col("_kind") == 0, F.col("r"))
     short = F.when(own_r.isNotNull(), F.least(own_r - rate, F.lit(0.0)))
@@ -182,17 +183,12 @@ def own_and_peer_features(
     )
 
 
-def sector_features(returns: DataFrame, manifest: DataFrame, pairs: DataFrame, days: int = K.TRADING_DAYS) -> DataFrame:
-    """(series, anchor): 12-month momentum and 1-year volatility of each sector composite."""
+def composite_features(daily: DataFrame, asked: DataFrame, days: int = K.TRADING_DAYS) -> DataFrame:
+    """(series, anchor): 12-month momentum and 1-year volatility of daily composite returns."""
     running = by_date("series").rowsBetween(Window.unboundedPreceding, 0)
-    levels = peers.sector_composites(returns, manifest).select(
+    levels = daily.select(
         "series", "dt", F.sum(F.log1p("r")).over(running).alias("lvl"), F.count("r").over(running).alias("n"),
         F.sum("r").over(running).alias("s"), F.sum(F.col("r") * F.col("r")).over(running).alias("ss"))
-    themed = manifest.where((F.col("category") == K.SECTOR_KEYED) & F.col("sector").isNotNull())
-    asked = (
-        pairs.join(themed.select("fund_id", F.col("sector").alias("series")), "fund_id").select("series", "anchor")
-        .unionByName(pairs.select(F.lit("*").alias("series"), "anchor")).distinct()
-    )
     carry = ["lvl", "n", "s", "ss"]
     ends = read_offsets(levels, asked, "series", "anchor", {"t": F.col("anchor"), "m12": F.add_months("anchor", -12)}, carry)
     latest = read_offsets(levels, asked, "series", "anchor", {"e": F.col("anchor")}, carry, tolerance_days=None)
@@ -204,6 +200,16 @@ def sector_features(returns: DataFrame, manifest: DataFrame, pairs: DataFrame, d
         F.when(n >= 3, stddev_from(n, s, ss) * F.sqrt(F.lit(float(days)))).alias("vol"))
 
 
+def sector_features(returns: DataFrame, manifest: DataFrame, pairs: DataFrame, days: int = K.TRADING_DAYS) -> DataFrame:
+    """Context of every sector (and ``*`` for all of them) at the anchors its funds ask for."""
+    themed = manifest.where((F.col("category") == K.SECTOR_KEYED) & F.col("sector").isNotNull())
+    asked = (
+        pairs.join(themed.select("fund_id", F.col("sector").alias("series")), "fund_id").select("series", "anchor")
+        .unionByName(pairs.select(F.lit("*").alias("series"), "anchor")).distinct()
+    )
+    return composite_features(peers.sector_composites(returns, manifest), asked, days)
+
+
 def feature_rows(
     nav: DataFrame, manifest: DataFrame, pairs: DataFrame, days: int = K.TRADING_DAYS, pinned: DataFrame | None = None
 ) -> DataFrame:
@@ -221,14 +227,18 @@ def feature_rows(
         .withColumn("series", F.when(themed, F.col("sector")))
         .join(sectors, ["series", "anchor"], "left").join(market, "anchor", "left")
     )
-    rows = rows.select(
-        "fund_id", "anchor", "gkey", *[c for c in own.columns if c not in ("fund_id", "anchor")], "max_dd_3y", "current_dd",
-        themed.cast("double").alias("is_thematic"), F.col("mom").alias("sector_mom_12m"), F.col("vol").alias("sector_vol_1y"),
-        F.when(themed, F.col("mom") - F.col("_all")).alias("sector_rel_strength"))
+    return finish_rows(rows, themed, F.col("_all"))
+
+
+def finish_rows(rows: DataFrame, themed: Column, market_mom: Column) -> DataFrame:
+    """Sector context, thematic flag and presence flags; the columns in panel order."""
+    out = rows.select(
+        "*", themed.cast("double").alias("is_thematic"), F.col("mom").alias("sector_mom_12m"), F.col("vol").alias("sector_vol_1y"),
+        F.when(themed, F.col("mom") - market_mom).alias("sector_rel_strength"))
     present = {"has_1y": "cagr_1y", "has_3y": "cagr_3y", "has_5y": "cagr_5y", "has_peer": "excess_1y", "has_persist": "excess_persist"}
     for flag, source in present.items():
-        rows = rows.withColumn(flag, F.col(source).isNotNull().cast("double"))
-    return rows.select("fund_id", "anchor", "gkey", *K.BASE_FEATURES)
+        out = out.withColumn(flag, F.col(source).isNotNull().cast("double"))
+    return out.select("fund_id", "anchor", "gkey", *K.BASE_FEATURES)
 
 
 def cross_section_stats(rows: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def fit_elastic_net(vectors: DataFrame, label: str, C: float, l1_ratio: float, w
     total = rows.agg(F.sum("_w")).first()[0]
     return LogisticRegression(
         featuresCol="x", labelCol="_y", weightCol="_w", elasticNetParam=l1_ratio, regParam=1.0 / (C * total), standardization=False,
-        maxIter=400, tol=1e-8).fit(rows)
+        maxIter=300, tol=1e-6).fit(rows)
 
 
 def fit_boosted_trees(vectors: DataFrame, label: str, step: float, max_leaves: int, iterations: int, min_leaf: int):

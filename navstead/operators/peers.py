@@ -49,14 +49,19 @@ def group_day_totals(returns: DataFrame, members: DataFrame, group: str = "gkey"
 
 
 def peer_days(returns: DataFrame, members: DataFrame) -> DataFrame:
-    """(fund_id, dt, total, n) on every date of the fund's group, printed or not.
+    """(fund_id, dt, total, n, is_ref) on every date of the fund's group, printed or not.
 
-    A group may hold a third of all funds, so members carry a salt and the small day totals are
-    repeated once per salt.
+    Only reference members (``is_ref``, all of them by default) enter the totals.  A group may
+    hold a third of all funds, so members carry a salt and the small day totals are repeated
+    once per salt.
     """
-    totals = group_day_totals(returns, members).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = members.select("fund_id", "gkey").withColumn("_salt", F.pmod(F.xxhash64("fund_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(totals, ["gkey", "_salt"]).select("fund_id", "dt", "total", "n")
+    if "is_ref" not in members.columns:
+        members = members.withColumn("is_ref", F.lit(True))
+    totals = group_day_totals(returns, members.where("is_ref")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.select("fund_id", "gkey", "is_ref").withColumn(
+        "_salt", F.pmod(F.xxhash64("fund_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(totals, ["gkey", "_salt"]).select("fund_id", "dt", "total", "n", "is_ref")
 
 
 def loo_return(total: Column, n: Column, own: Column) -> Column:
@@ -68,7 +73,8 @@ def loo_return(total: Column, n: Column, own: Column) -> Column:
 def loo_composite(returns: DataFrame, members: DataFrame) -> DataFrame:
     """Daily peer return of every fund (its own return left out) beside its own return."""
     grid = peer_days(returns, members).join(returns.select("fund_id", "dt", "r"), ["fund_id", "dt"], "left")
-    return grid.withColumn("peer_r", loo_return(F.col("total"), F.col("n"), F.col("r"))).where(
+    own = F.when(F.col("is_ref"), F.col("r"))
+    return grid.withColumn("peer_r", loo_return(F.col("total"), F.col("n"), own)).where(
         F.col("peer_r").isNotNull()).select("fund_id", "dt", "r", "peer_r")
 
 
