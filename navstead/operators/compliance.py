@@ -54,7 +54,7 @@ def verify(funds: DataFrame, lines: DataFrame, overlaps: DataFrame | None = None
     issuer = holdings.single_issuer_findings(facts).select(
         "fund_id", F.struct("rule_id", "passed", "detail").alias("issuer"))
     rows = (
-        funds.join(rule_table(spark), "category", "left").join(book_totals(lines, funds), "fund_id", "left").join(issuer, "fund_id", "left")
+        funds.select("fund_id", "scheme_name", "category", "declared_sector").join(rule_table(spark), "category", "left").join(book_totals(lines, funds), "fund_id", "left").join(issuer, "fund_id", "left")
     )
     known, has_book = F.col("bucket").isNotNull(), F.col("eq").isNotNull()
     segment, floor = F.col("segment"), F.col("segment_floor")
