@@ -230,7 +230,7 @@ def feature_rows(
     return finish_rows(rows, themed, F.col("_all"))
 
 
-def finish_rows(rows: DataFrame, themed: Column, market_mom: Column) -> DataFrame:
+def finish_rows(rows: DataFrame, themed: Column, market_mom: Column, extra: tuple[str, ...] = ()) -> DataFrame:
     """Sector context, thematic flag and presence flags; the columns in panel order."""
     out = rows.select(
         "*", themed.cast("double").alias("is_thematic"), F.col("mom").alias("sector_mom_12m"), F.col("vol").alias("sector_vol_1y"),
@@ -238,7 +238,7 @@ def finish_rows(rows: DataFrame, themed: Column, market_mom: Column) -> DataFram
     present = {"has_1y": "cagr_1y", "has_3y": "cagr_3y", "has_5y": "cagr_5y", "has_peer": "excess_1y", "has_persist": "excess_persist"}
     for flag, source in present.items():
         out = out.withColumn(flag, F.col(source).isNotNull().cast("double"))
-    return out.select("fund_id", "anchor", "gkey", *K.BASE_FEATURES)
+    return out.select("fund_id", "anchor", "gkey", *extra, *K.BASE_FEATURES)
 
 
 def cross_section_stats(rows: DataFrame) -> DataFrame:

@@ -75,35 +75,32 @@ def candidate_sector_days(returns: DataFrame, manifest: DataFrame, candidates: D
     return shared.unionByName(own).groupBy("fund_id", "series", "dt").agg((F.sum("total") / F.sum("n")).alias("r"))
 
 
-def candidate_rows(nav: DataFrame, manifest: DataFrame, candidates: DataFrame, days: int) -> DataFrame:
-    """Features of candidates (fund_id, category, sector, anchor) against reference peers."""
+def live_rows(nav: DataFrame, manifest: DataFrame, candidates: DataFrame, pairs: DataFrame, days: int) -> DataFrame:
+    """Features of reference pairs and of candidates (fund_id, category, sector, anchor) in one pass, with ``is_ref``."""
     base = manifest.select("fund_id", "category", "sector").withColumn("is_ref", F.lit(True))
     added = candidates.select("fund_id", "category", "sector").withColumn("is_ref", F.lit(False))
-    # A manifest row that reached here has no prices, so it cannot be a member of any total.
+    # A manifest fund among the candidates has no prices of its own, so it is in no total.
     both = base.join(added.select("fund_id"), "fund_id", "left_anti").unionByName(added)
     keyed = peers.with_group_key(both, pinned=manifest)
-    pairs = candidates.select("fund_id", "anchor")
-    own = feats.own_and_peer_features(nav, keyed, pairs, days).join(candidates.select("fund_id"), "fund_id", "left_semi")
-    falls = window_drawdown(nav, pairs, 36).withColumnRenamed("max_dd", "max_dd_3y")
-    returns = with_returns(nav).where(F.col("r").isNotNull()).select("fund_id", "dt", "r")
-    daily = candidate_sector_days(returns, manifest, candidates)
-    labelled = daily.select(F.concat_ws("|", "fund_id", "series").alias("series"), "dt", "r")
-    themed = candidates.where((F.col("category") == K.SECTOR_KEYED) & F.col("sector").isNotNull())
-    asked = themed.select(F.explode(F.array(F.concat_ws("|", "fund_id", "sector"), F.concat_ws("|", "fund_id", F.lit("*")))).alias("series"), "anchor")
-    context = feats.composite_features(labelled, asked, days)
-    return _with_context(own, falls, keyed, context)
-
+    asked = pairs.unionByName(candidates.select("fund_id", "anchor"))
+    own = feats.own_and_peer_features(nav, keyed, asked, days)
+    falls = window_drawdown(nav, asked, 36).withColumnRenamed("max_dd", "max_dd_3y")
 
-def _with_context(own: DataFrame, falls: DataFrame, keyed: DataFrame, context: DataFrame) -> DataFrame:
+    returns = with_returns(nav).where(F.col("r").isNotNull()).select("fund_id", "dt", "r")
+    private = candidate_sector_days(returns, manifest, candidates).select(F.concat_ws("|", "fund_id", "series").alias("series"), "dt", "r")
+    daily = peers.sector_composites(returns, manifest).unionByName(private)
+    themed = F.col("category") == K.SECTOR_KEYED
+    sector_series = F.when(themed & F.col("is_ref"), F.col("sector")).when(themed, F.concat_ws("|", "fund_id", "sector"))
+    market_series = F.when(themed & F.col("is_ref"), "*").when(themed, F.concat_ws("|", "fund_id", F.lit("*")))
+    named = asked.join(keyed.withColumn("series", sector_series).withColumn("_all", market_series), "fund_id")
+    wanted = named.select("anchor", F.explode(F.array_compact(F.array("series", "_all"))).alias("series")).distinct()
+    context = feats.composite_features(daily, wanted, days)
     whole = context.select(F.col("series").alias("_all"), "anchor", F.col("mom").alias("_all_mom"))
-    base = (
-        own.join(falls, ["fund_id", "anchor"], "left").join(keyed.where(~F.col("is_ref")).select("fund_id", "gkey", "category", "sector"), "fund_id")
-        .withColumn("series", F.concat_ws("|", "fund_id", F.coalesce("sector", F.lit("?"))))
-        .withColumn("_all", F.concat_ws("|", "fund_id", F.lit("*")))
+    rows = (
+        named.join(own, ["fund_id", "anchor"]).join(falls, ["fund_id", "anchor"], "left")
+        .join(context, ["series", "anchor"], "left").join(whole, ["_all", "anchor"], "left")
     )
-    rows = base.join(context, ["series", "anchor"], "left").join(whole, ["_all", "anchor"], "left")
-    themed = F.col("category") == K.SECTOR_KEYED
-    return feats.finish_rows(rows, themed, F.col("_all_mom"))
+    return feats.finish_rows(rows, themed, F.col("_all_mom"), ("is_ref",))
 
 
 def candidate_percentile(reference: DataFrame, candidates: DataFrame, keys: Sequence[str], value: str, out: str, min_count: int) -> DataFrame:
@@ -115,30 +112,19 @@ def candidate_percentile(reference: DataFrame, candidates: DataFrame, keys: Sequ
     return candidates.join(table.select(*cols, pct.alias(out)), cols, "left")
 
 
-def live_panel(manifest: DataFrame, nav: DataFrame, pairs: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
-    """(reference panel, per-anchor statistics) at the live anchors."""
-    rows = cut_lineage(feats.feature_rows(nav, manifest, pairs, days))
-    stats = cut_lineage(feats.cross_section_stats(rows))
-    return cut_lineage(feats.with_z_scores(feats.with_peer_rank(rows), stats)), stats
-
-
 def score_live(requests: DataFrame, manifest: DataFrame, nav: DataFrame, master: DataFrame, overrides: DataFrame, model: DataFrame,
                features: Sequence[str], today: Column, days: int = K.TRADING_DAYS, target: str = "cohort_q1") -> DataFrame:
     """One row per requested fund: status, and for OK the probability and cohort percentile."""
     state = cut_lineage(requests_state(requests, manifest, nav, master, overrides, today))
     open_rows = state.where(F.col("early_status").isNull())
     pairs = cut_lineage(reference_pairs(manifest, nav, open_rows))
-    panel, stats = live_panel(manifest, nav, pairs, days)
-    keyed = peers.with_group_key(manifest)
-
-    cand = open_rows.where(~F.col("is_ref"))
-    raw = cut_lineage(candidate_rows(nav, manifest, cand, days))
-    placed = candidate_percentile(panel, raw, ["gkey", "anchor"], "cagr_3y", "rank_3y", 3)
-    cand_panel = feats.with_z_scores(placed, stats).select("fund_id", "anchor", "gkey", *K.FEATURES)
-
+    rows = cut_lineage(live_rows(nav, manifest, open_rows.where(~F.col("is_ref")), pairs, days))
+    reference, raw = rows.where("is_ref"), rows.where(~F.col("is_ref"))
+    stats = feats.cross_section_stats(reference)
+    placed = candidate_percentile(reference, raw, ["gkey", "anchor"], "cagr_3y", "rank_3y", 3)
+    panel = feats.with_z_scores(feats.with_peer_rank(reference).unionByName(placed), stats)
+    scored = cut_lineage(_scores(panel.select("fund_id", "anchor", "gkey", "is_ref", *K.FEATURES), model, features, target))
     own = open_rows.where("is_ref").select("fund_id", "anchor")
-    shown = panel.select("fund_id", "anchor", "gkey", *K.FEATURES)
-    scored = cut_lineage(_scores(shown, cand_panel, model, features, target))
 
     has_year = F.coalesce(F.col("has_1y") == 1.0, F.lit(False))
     cohorts = scored.where("is_ref").groupBy("gkey", "anchor").agg(
@@ -182,8 +168,7 @@ def late_seen(status: Column) -> Column:
     return status.isin("OK", "THIN_COHORT", "INSUFFICIENT_HISTORY")
 
 
-def _scores(panel: DataFrame, cand_panel: DataFrame, model: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    rows = panel.withColumn("is_ref", F.lit(True)).unionByName(cand_panel.withColumn("is_ref", F.lit(False)))
+def _scores(rows: DataFrame, model: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     scored = inference.score(rows, model.where(F.col("target") == target), features)
     return scored.select(
         "fund_id", "anchor", "gkey", "is_ref", "has_1y", "probability", "signal_context", "model_id",

@@ -148,3 +148,13 @@ def batch_gates(batches: DataFrame, max_error_rate: float, max_anchor_age: int,
         F.struct(F.lit("ledger_moving").alias("gate"), F.coalesce(age <= max_anchor_age, F.lit(True)).alias("passed"), age.cast("string").alias("detail")),
     )).alias("g")
     return batches.select("*", gates).select(*batches.columns, "g.*")
+
+
+def monitoring_block(ledger: DataFrame, realized: DataFrame, psi: DataFrame, stability: DataFrame) -> DataFrame:
+    """One row with the four one-row monitoring results as structs."""
+
+    def packed(df: DataFrame, name: str) -> Column:
+        return df.agg(F.any_value(F.struct(*df.columns))).scalar().alias(name)
+
+    return ledger.select(F.struct(*ledger.columns).alias("ledger")).select(
+        "ledger", packed(realized, "realized_ic"), packed(psi, "psi"), packed(stability, "rank_stability"))

@@ -120,3 +120,9 @@ def peer_median(fwd: DataFrame) -> DataFrame:
     """Rows of (fund_id, anchor, gkey, r_fwd) with the median and number of the other peers."""
     medians = loo_median(fwd, ["gkey", "anchor"], "r_fwd", "peer_fwd", K.MIN_LOO_PEERS)
     return fwd.join(medians, ["gkey", "anchor", "r_fwd"], "left")
+
+
+def benchmark_levels(names: DataFrame, bench: DataFrame, meta: DataFrame, start: Column) -> DataFrame:
+    """(fund_id, dt, level) of each fund's index from ``start`` on; unmapped or absent gives no rows."""
+    usable = bench.where(F.col("dt") >= start).join(meta.where(F.col("source") != "NONE").select("name"), "name", "left_semi")
+    return names.select("fund_id", "name").join(usable, "name").select("fund_id", "dt", "level")

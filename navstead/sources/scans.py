@@ -47,10 +47,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 def nav_history(spark: SparkSession, path: str) -> DataFrame:
     """(fund_id, dt, nav, scheme_name, is_payout_plan) from one JSON document per scheme."""
     docs = spark.read.schema(NAV_JSON).option("multiLine", True).json(path)
+    code = F.coalesce("meta.scheme_code", F.regexp_extract("_metadata.file_name", r"(\d+)", 1))
+    return nav_rows_from_documents(docs.withColumn("meta", F.col("meta").withField("scheme_code", code)))
+
+
+def nav_rows_from_documents(docs: DataFrame) -> DataFrame:
+    """Price rows of parsed documents; unreadable dates and values, and values up to zero, drop."""
     name = F.upper(F.coalesce("meta.scheme_name", F.lit("")))
     rows = docs.select(
-        F.coalesce("meta.scheme_code", F.regexp_extract("_metadata.file_name", r"(\d+)", 1)).alias("fund_id"),
-        F.col("meta.scheme_name").alias("scheme_name"),
+        F.col("meta.scheme_code").alias("fund_id"), F.col("meta.scheme_name").alias("scheme_name"),
         (name.contains("IDCW") | name.contains("DIVIDEND")).alias("is_payout_plan"), F.explode("data").alias("d"))
     return rows.select(
         "fund_id", F.try_to_date("d.date", "dd-MM-yyyy").alias("dt"), finite(F.expr("try_cast(d.nav AS double)")).alias("nav"),
@@ -113,10 +118,11 @@ def benchmark_meta(sheet: DataFrame) -> DataFrame:
 
 
 def benchmark_series(spark: SparkSession, folder: str, meta: DataFrame) -> DataFrame:
-    """(name, dt, level) of every named index that has a series; files are named by the slug."""
+    """(name, dt, level) of every named index that has a series; files, or ``slug=`` folders, carry the slug."""
     raw = spark.read.option("mergeSchema", True).parquet(folder)
     level = F.coalesce(*[F.col(c).cast("double") for c in ("close", "nav") if c in raw.columns])
-    slug = F.regexp_replace(F.regexp_replace("_metadata.file_name", r"%20", "_"), r"\.parquet$", "")
+    named = F.regexp_replace(F.regexp_replace("_metadata.file_name", r"%20", "_"), r"\.parquet$", "")
+    slug = F.col("slug") if "slug" in raw.columns else named
     rows = raw.select(slug.alias("_slug"), F.col("date").cast("date").alias("dt"), finite(level).alias("level"))
     usable = meta.where(F.col("source") != "NONE").withColumn("_slug", F.replace(F.lower("name"), F.lit(" "), F.lit("_")))
     return rows.join(usable, "_slug").where(F.col("level").isNotNull()).select("name", "dt", "level")
