@@ -281,8 +281,8 @@ def bootstrap_signs(rows: DataFrame, features: Sequence[str], target: str, repli
         pre = Preprocessor.fit(sample, features)
         model = fit_elastic_net(cut_lineage(pre.vectors(sample, [target])), target, **(config or K.ELASTIC_NET))
         for f, c in zip(features, model.coefficients):
-            tally[f][0] += c > 0
-            tally[f][1] += c < 0
+            tally[f][0] += int(c > 0)
+            tally[f][1] += int(c < 0)
     pairs = [(f, max(a, b) / max(used, 1)) for f, (a, b) in tally.items()]
     return rows.sparkSession.createDataFrame(pairs, "feature string, stability double")
 

@@ -320,19 +320,19 @@ def _(spark, sf):
 
 @query("peer_percentile_rank", sql(f"""
   SELECT s_suppkey fund, s_nationkey grp, s_acctbal x, {r6('''(RANK() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal)
-    + (COUNT(*) OVER (PARTITION BY s_nationkey, s_acctbal) - 1)/2.0::DOUBLE)/COUNT(*) OVER (PARTITION BY s_nationkey)''')} pct FROM supplier"""))
+    + (COUNT(*) OVER (PARTITION BY s_nationkey, s_acctbal) - 1)/2.0::DOUBLE)/COUNT(*) OVER (PARTITION BY s_nationkey)''', 12)} pct FROM supplier"""))
 def _(spark, sf):
     rows = X.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("fund"), F.col("s_nationkey").alias("grp"), F.col("s_acctbal").alias("x"))
-    return rounded(with_percentile_rank(rows, ["grp"], "x", "pct", center=4500.0, scale=3000.0))
+    return rounded(with_percentile_rank(rows, ["grp"], "x", "pct", center=4500.0, scale=3000.0), 12)
 
 
 @query("tied_percentile_rank", sql(f"""
   SELECT o_orderkey id, o_orderpriority grp, CAST(floor(o_totalprice/1000) AS DOUBLE) x, {r6('''(RANK() OVER (PARTITION BY o_orderpriority ORDER BY floor(o_totalprice/1000))
-    + (COUNT(*) OVER (PARTITION BY o_orderpriority, floor(o_totalprice/1000)) - 1)/2.0::DOUBLE)/COUNT(*) OVER (PARTITION BY o_orderpriority)''')} pct FROM orders"""))
+    + (COUNT(*) OVER (PARTITION BY o_orderpriority, floor(o_totalprice/1000)) - 1)/2.0::DOUBLE)/COUNT(*) OVER (PARTITION BY o_orderpriority)''', 12)} pct FROM orders"""))
 def _(spark, sf):
     rows = X.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("grp"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("x"))
-    return rounded(with_percentile_rank(rows, ["grp"], "x", "pct", center=200.0, scale=100.0))
+    return rounded(with_percentile_rank(rows, ["grp"], "x", "pct", center=200.0, scale=100.0), 12)
 
 
 @query("group_quantiles", sql(f"""

@@ -221,8 +221,10 @@ def ledger(spark: SparkSession, path: str, schema: str = PREDICTION) -> DataFram
     """JSON lines; a line that does not parse is skipped wherever it stands."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = F.from_json("value", f"{schema}, _corrupt string", options)
+    rows = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(parsed.alias("r"))
+    return rows.where(F.col("r._corrupt").isNull()).select("r.*").drop("_corrupt")
 
 
 def superseded_models(spark: SparkSession, path: str) -> DataFrame:
