@@ -46,7 +46,7 @@ def _(spark, sf):
     (SELECT fund_id, COUNT(*) rows_in, COUNT(*) FILTER (is_spike) spikes_removed FROM spiky GROUP BY 1) LEFT JOIN
     (SELECT fund_id, COUNT(*) rows_out, COUNT(*) FILTER (payout) payout_steps,
        COALESCE(LIST(CAST(dt AS VARCHAR) ORDER BY dt) FILTER (payout), []) payout_dates,
-       COUNT(*) FILTER (market_move) market_moves FROM paid GROUP BY 1) USING (fund_id)""", "spiky", "paid"))
+       COUNT(*) FILTER (market_move) market_moves FROM paid GROUP BY 1) USING (fund_id)""", "spiky", "paid"), lists=('payout_dates',))
 def _(spark, sf):
     out = cleaning.cleaning_report(X.dirty_nav(spark, sf), fund_levels(spark, sf))
     return out.withColumn("payout_dates", F.col("payout_dates").cast("array<string>"))
@@ -56,7 +56,7 @@ def _(spark, sf):
   WITH s AS (SELECT fund_id, nav, abs(nav/LAG(nav) OVER (PARTITION BY fund_id ORDER BY dt) - 1) j FROM dirty),
   g AS (SELECT fund_id, COUNT(*) n_obs, COUNT(*) FILTER (j > 0.25) jumps FROM s GROUP BY 1)
   SELECT fund_id, n_obs, list_filter([CASE WHEN n_obs < 30 THEN 'short_history' END, CASE WHEN jumps > 0 THEN 'step_over_25pct' END],
-         lambda x: x IS NOT NULL) errors, n_obs >= 30 AND jumps = 0 ok FROM g""", "dirty"))
+         lambda x: x IS NOT NULL) errors, n_obs >= 30 AND jumps = 0 ok FROM g""", "dirty"), lists=('errors',))
 def _(spark, sf):
     return cleaning.integrity(X.dirty_nav(spark, sf))
 

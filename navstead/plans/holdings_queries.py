@@ -75,7 +75,7 @@ def _(spark, sf):
 
 @query("holding_validation", sql("""
   SELECT fund_id, as_of, instrument, asset_type, list_filter([CASE WHEN length(instrument) < 2 THEN 'instrument' END,
-    CASE WHEN NOT (weight > 0 AND weight <= 1) THEN 'weight' END, CASE WHEN rating = 'D' THEN 'rating' END], lambda x: x IS NOT NULL) errors FROM holdings""", "holdings"))
+    CASE WHEN NOT (weight > 0 AND weight <= 1) THEN 'weight' END, CASE WHEN rating = 'D' THEN 'rating' END], lambda x: x IS NOT NULL) errors FROM holdings""", "holdings"), lists=('errors',))
 def _(spark, sf):
     return cleaning.holding_errors(X.holdings(spark, sf)).select("fund_id", "as_of", "instrument", "asset_type", "errors")
 

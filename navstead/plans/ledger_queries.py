@@ -210,7 +210,7 @@ def _(spark, sf):
 
 @query("drift_summary", sql("""
   SELECT CASE WHEN MAX(psi) > 0.25 THEN 'SIGNIFICANT_SHIFT' WHEN MAX(psi) > 0.10 THEN 'MODERATE_SHIFT' ELSE 'OK' END status, round(MAX(psi), 4) psi_max, round(AVG(psi), 4) psi_mean,
-    (LIST(feature ORDER BY psi DESC, feature DESC))[1:3] worst, COUNT(*) n_features FROM psi""", "psi"))
+    (LIST(feature ORDER BY psi DESC, feature DESC))[1:3] worst, COUNT(*) n_features FROM psi""", "psi"), lists=('worst',))
 def _(spark, sf):
     return monitoring.psi_live(drift_now(spark, sf), reference(spark, sf), "m2", "m2", DRIFT)
 

@@ -12,13 +12,21 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, oracle: str | None = None, lists: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Register a query; ``lists`` names string arrays, which are compared as joined text."""
+
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+
+        def joined(spark: SparkSession, source: str) -> DataFrame:
+            df = fn(spark, source)
+            return df.select(*[F.array_join(c, "|").alias(c) if c in lists else F.col(c) for c in df.columns])
+
+        QUERIES[name] = joined if lists else fn
         if oracle is not None:
-            ORACLES[name] = oracle
+            swaps = ", ".join(f"array_to_string({c}, '|') AS {c}" for c in lists)
+            ORACLES[name] = f"SELECT * REPLACE ({swaps}) FROM ({oracle})" if lists else oracle
         return fn
 
     return add

@@ -360,8 +360,8 @@ def _(spark, sf):
 
 
 define("seg", f"""
-  SELECT s profile_id, CAST(i AS DOUBLE)*3 + 0.5 horizon_years, {sql_pick(NEEDS, 'i')} liquidity_need, {sql_pick(RISKS, 'i + 1')} risk_appetite
-  FROM (SELECT c_mktsegment s, ROW_NUMBER() OVER (ORDER BY c_mktsegment) - 1 i FROM (SELECT DISTINCT c_mktsegment FROM customer))""")
+  SELECT c_mktsegment profile_id, CAST(ascii(c_mktsegment) - 65 AS DOUBLE) + 0.5 horizon_years, {sql_pick(NEEDS, 'ascii(c_mktsegment) - 65')} liquidity_need,
+    {sql_pick(RISKS, 'ascii(c_mktsegment) - 64')} risk_appetite FROM (SELECT DISTINCT c_mktsegment FROM customer)""")
 define("segw", _weights_sql("seg"), "seg")
 define("cband", """
   SELECT fund_id, COALESCE(SUM(weight) FILTER (asset_type = 'equity' AND cap_band = 'small'), 0) small_weight FROM cbook GROUP BY 1""", "cbook")
@@ -402,13 +402,12 @@ define("util", f"SELECT p.profile_id, s.*, round(100*({_util}), 1) utility_score
 
 @stored
 def utilities(spark, sf):
-    from pyspark.sql import Window
-
     segments = X.table(spark, sf, "customer").select("c_mktsegment").distinct()
-    # Market segments are a handful of names; they are numbered for their settings.
-    i = F.row_number().over(Window.orderBy("c_mktsegment")) - 1
-    profiles = segments.select(F.col("c_mktsegment").alias("profile_id"), i.alias("i")).select(
-        "profile_id", (F.col("i") * 3 + 0.5).cast("double").alias("horizon_years"), T.choose(NEEDS, F.col("i")).alias("liquidity_need"), T.choose(RISKS, F.col("i") + 1).alias("risk_appetite"))
+    # A market segment is an investor profile; its first letter sets the horizon and needs.
+    i = F.ascii("c_mktsegment") - 65
+    profiles = segments.select(
+        F.col("c_mktsegment").alias("profile_id"), (i + 0.5).cast("double").alias("horizon_years"), T.choose(NEEDS, i).alias("liquidity_need"),
+        T.choose(RISKS, i + 1).alias("risk_appetite"))
     return suitability.utility(scored_funds(spark, sf), suitability.utility_weights(profiles))
 
 
@@ -515,7 +514,7 @@ def _(spark, sf):
 
 @query("data_flags", sql("""
   SELECT c_custkey, list_filter([CASE WHEN c_custkey % 4 = 0 AND c_custkey % 3 = 0 THEN 'SECTOR_UNMAPPED' END, CASE WHEN c_custkey % 5 = 0 THEN 'EXPENSE_UNAVAILABLE' END,
-    CASE WHEN c_custkey % 4 IN (1, 2) THEN 'SHORT_HISTORY' END, ['THIN_COHORT', NULL, 'STALE_NAV', 'COHORT_UNSCORED_OTHER', NULL][c_custkey % 5 + 1]], lambda x: x IS NOT NULL) flags FROM customer"""))
+    CASE WHEN c_custkey % 4 IN (1, 2) THEN 'SHORT_HISTORY' END, ['THIN_COHORT', NULL, 'STALE_NAV', 'COHORT_UNSCORED_OTHER', NULL][c_custkey % 5 + 1]], lambda x: x IS NOT NULL) flags FROM customer"""), lists=('flags',))
 def _(spark, sf):
     k = F.col("c_custkey")
     statuses = F.array(F.lit("THIN_COHORT"), F.lit("OK"), F.lit("STALE_NAV"), F.lit("NEW_STATUS"), F.lit(None))

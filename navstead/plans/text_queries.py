@@ -408,7 +408,7 @@ def _(spark, sf):
   SELECT CAST(c_custkey AS VARCHAR) fund_id, list_filter([CASE WHEN length(CAST(c_custkey AS VARCHAR)) NOT BETWEEN 4 AND 8 THEN 'code_shape' END,
       CASE WHEN c_custkey % 6 = 1 THEN 'isin_shape' END, CASE WHEN c_acctbal <= 0 THEN 'aum' END, CASE WHEN c_custkey % 40 > 27 THEN 'expense_ratio' END,
       CASE WHEN c_mktsegment = 'MACHINERY' AND c_custkey % 2 = 0 THEN 'index_benchmark' END, CASE WHEN c_custkey % 9 = 0 THEN 'arbitrage_benchmark' END], lambda x: x IS NOT NULL) errors
-  FROM customer"""))
+  FROM customer"""), lists=('errors',))
 def _(spark, sf):
     k = F.col("c_custkey")
     rows = X.table(spark, sf, "customer").select(
@@ -423,7 +423,7 @@ def _(spark, sf):
 @query("missing_parameters", sql("""
   SELECT CAST(c_custkey AS VARCHAR) fund_id, list_filter([CASE WHEN c_custkey % 5 = 4 THEN 'category_not_in_registry:Oddity' END, CASE WHEN c_acctbal < 0 THEN 'holdings_unavailable' END,
       CASE WHEN c_custkey % 5 = 1 AND c_custkey % 3 > 0 THEN 'tri_benchmark_name' END, CASE WHEN c_custkey % 5 = 0 AND c_custkey % 2 = 0 THEN 'declared_sector_or_theme' END,
-      CASE WHEN c_custkey % 5 = 2 THEN 'portfolio_ytm_and_duration_feed' END], lambda x: x IS NOT NULL) missing FROM customer"""))
+      CASE WHEN c_custkey % 5 = 2 THEN 'portfolio_ytm_and_duration_feed' END], lambda x: x IS NOT NULL) missing FROM customer"""), lists=('missing',))
 def _(spark, sf):
     k = F.col("c_custkey")
     rows = X.table(spark, sf, "customer").select(
