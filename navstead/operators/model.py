@@ -6,6 +6,7 @@ the coefficients, and the calibration blocks.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -229,6 +230,22 @@ def run_folds(rows: DataFrame, features: Sequence[str], runs: Sequence[tuple[str
     return out
 
 
+def sensitivity(rows: DataFrame, features: Sequence[str], target: str, blocks=K.FOLD_BLOCKS, model_start: str = K.MODEL_START,
+                horizon: int = 36, grids: dict[str, Sequence[dict]] | None = None) -> DataFrame:
+    """Mean fold AUCs of every setting of the grids; reported, never selected from."""
+    out = None
+    for kind, grid in (grids or {"enet": K.ELASTIC_NET_GRID, "trees": K.BOOSTED_TREES_GRID}).items():
+        for config in grid:
+            preds = run_folds(rows, features, [(target, target, kind, config)], blocks, model_start, horizon)
+            name = F.lit(f"{kind}:{json.dumps(config, sort_keys=True)}")
+            met = evaluation.block_metrics(preds, ["block"]).withColumn("setting", name)
+            mean = met.groupBy("setting").agg(F.avg("pooled_auc").alias("mean_pooled_auc"), F.avg("rank_auc").alias("mean_rank_auc"))
+            out = mean if out is None else out.unionByName(mean)
+    if out is None:
+        raise ValueError("the grids are empty")
+    return out
+
+
 def evaluate_once(spark, path: str, compute, force: bool = False) -> DataFrame:
     """A stamped result is reused; it is computed again only when forced."""
     from ..sources.scans import exists

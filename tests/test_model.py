@@ -109,6 +109,13 @@ def test_fold_run_and_stamp(spark, data, tmp_path):
     assert len(calls) == 2
 
 
+def test_sensitivity_grid_reports_each_setting(data):
+    rows, _, _ = data
+    grids = {"enet": K.ELASTIC_NET_GRID[:2], "trees": ({**K.BOOSTED_TREES, "iterations": 3},)}
+    got = model.sensitivity(rows, ["a", "b"], "y", (("B", "2017-01-01", "2017-12-31"),), "2015-01-01", 1, grids).collect()
+    assert len(got) == 3 and all(r.mean_pooled_auc > 0.6 for r in got)
+
+
 def test_bootstrap_sign_stability(data):
     rows, _, _ = data
     got = {r.feature: r.stability for r in model.bootstrap_signs(rows, ["a", "b"], "y", replicates=2).collect()}
