@@ -54,3 +54,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import exact_top_k
 
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+@query("op3_line_dedup", oracle=r"""
+WITH l AS (
+  SELECT doc_id, CAST(i AS BIGINT) AS i, line,
+    translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
+s AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT l.doc_id, l.i, l.line, s.k IS NOT NULL AND l.doc_id < s.keeper AS dropped FROM l LEFT JOIN s ON l.k = s.k)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE dropped) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM j GROUP BY doc_id""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import line_dedup
+
+    kept = line_dedup(table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
