@@ -71,3 +71,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kept = line_dedup(table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_ngram_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import ngram_jaccard_components
+
+    return ngram_jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
