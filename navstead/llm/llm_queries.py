@@ -78,3 +78,53 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import ngram_jaccard_components
 
     return ngram_jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+QUALITY_SQL = r"""
+WITH b AS (SELECT *, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM b)),
+g AS (SELECT rid, i, word, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT *, count(*) OVER (PARTITION BY rid, word, w2, w3) > 1 AND w3 IS NOT NULL AS rep FROM g),
+c AS (SELECT rid, i, word, rep OR coalesce(lag(rep) OVER o, false) OR coalesce(lag(rep, 2) OVER o, false) AS hit FROM r WINDOW o AS (PARTITION BY rid ORDER BY i)),
+wc AS (SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars, count(*) FILTER (WHERE hit) AS n_repeat_words FROM c GROUP BY rid),
+lc AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM b)
+       WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+m AS (
+  SELECT b.doc_id, b.lang, b.source, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM b LEFT JOIN wc USING (rid) LEFT JOIN lc USING (rid)),
+f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN word_chars > 0 THEN 10000 * n_symbols // word_chars ELSE 0 END AS v_symbols,
+    CASE WHEN n_lines > 0 THEN 10000 * n_dup_lines // n_lines ELSE 0 END AS v_dup_lines,
+    CASE WHEN n_words > 0 THEN 10000 * n_repeat_words // n_words ELSE 0 END AS v_repeats,
+    CASE WHEN n_words > 0 THEN 10000 * word_chars // n_words ELSE 0 END AS v_word_length FROM m),
+u AS (
+  SELECT lang, source, measure, CAST(v AS BIGINT) AS v FROM (
+    SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS measure, unnest([v_symbols, v_dup_lines, v_repeats, v_word_length]) AS v
+    FROM f WHERE NOT base_failed)),
+s AS (SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) AS v FROM u),
+o AS (SELECT lang, source, measure, quantile_disc(v, [0.25, 0.5, 0.75]) AS q, count(*) AS n FROM s GROUP BY ALL),
+l AS (SELECT lang, measure, quantile_disc(v, [0.25, 0.5, 0.75]) AS q, count(*) AS n FROM s GROUP BY ALL),
+e AS (SELECT measure, quantile_disc(v, [0.25, 0.5, 0.75]) AS q FROM s GROUP BY ALL),
+p AS (
+  SELECT o.lang, o.source, o.measure, CASE WHEN o.n >= 50 THEN o.q WHEN l.n >= 50 THEN l.q ELSE e.q END AS q,
+    CASE o.measure WHEN 'symbols' THEN 200 WHEN 'word_length' THEN 2500 ELSE 500 END AS spread
+  FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN e ON o.measure = e.measure),
+k AS (
+  SELECT lang, source, max(q[3] + 6 * greatest(q[3] - q[2], spread)) FILTER (WHERE measure = 'symbols') AS h1,
+    max(q[3] + 6 * greatest(q[3] - q[2], spread)) FILTER (WHERE measure = 'dup_lines') AS h2,
+    max(q[3] + 6 * greatest(q[3] - q[2], spread)) FILTER (WHERE measure = 'repeats') AS h3,
+    max(q[3] + 6 * greatest(q[3] - q[2], spread)) FILTER (WHERE measure = 'word_length') AS h4,
+    max(q[1] - 6 * greatest(q[2] - q[1], spread)) FILTER (WHERE measure = 'word_length') AS low FROM p GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR v_symbols > h1 OR v_dup_lines > h2 OR v_repeats > h3 OR v_word_length > h4 OR v_word_length < low) AS kept
+FROM f LEFT JOIN k ON f.lang IS NOT DISTINCT FROM k.lang AND f.source IS NOT DISTINCT FROM k.source"""
+
+
+@query("op8_quality_rules", oracle=QUALITY_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), reach=6, least_group=50, keep=["doc_id"])
