@@ -110,7 +110,7 @@ l AS (SELECT lang, measure, quantile_disc(v, [0.25, 0.5, 0.75]) AS q, count(*) A
 e AS (SELECT measure, quantile_disc(v, [0.25, 0.5, 0.75]) AS q FROM s GROUP BY ALL),
 p AS (
   SELECT o.lang, o.source, o.measure, CASE WHEN o.n >= 50 THEN o.q WHEN l.n >= 50 THEN l.q ELSE e.q END AS q,
-    CASE o.measure WHEN 'symbols' THEN 200 WHEN 'word_length' THEN 2500 ELSE 500 END AS spread
+    CASE o.measure WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 1000 WHEN 'word_length' THEN 2500 ELSE 500 END AS spread
   FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN e ON o.measure = e.measure),
 k AS (
   SELECT lang, source, max(q[3] + 6 * greatest(q[3] - q[2], spread)) FILTER (WHERE measure = 'symbols') AS h1,

@@ -24,7 +24,7 @@ from ..session import cut_lineage
 
 UNIT = 10_000  # measures are integers in ten-thousandths
 #: measure -> (least spread, bounded from below too)
-MEASURES = {"symbols": (200, False), "dup_lines": (500, False), "repeats": (500, False), "word_length": (2_500, True)}
+MEASURES = {"symbols": (100, False), "dup_lines": (1_000, False), "repeats": (500, False), "word_length": (2_500, True)}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 GROUP = ("_lang", "_source")
 
