@@ -128,3 +128,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"), reach=6, least_group=50, keep=["doc_id"])
+
+
+@query("op9_secret_scans")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_scan, spans_text
+
+    found = secret_scan(table(spark, sf_dir, "documents"), samples=2_000, keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256"), spans_text(F.col("all_spans")).alias("spans"),
+    )
