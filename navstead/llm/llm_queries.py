@@ -163,3 +163,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     found = language_id(table(spark, sf_dir, "documents"), ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_sentencepiece")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepieces import decoded, encoded
+
+    model = tokenizer_file("piece_bpe_32k.model")
+    back = decoded(encoded(table(spark, sf_dir, "documents"), model), model)
+    return back.select("doc_id", "n_ids", "n_byte_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeated_spans
+
+    found = repeated_spans(table(spark, sf_dir, "documents"), least_chars=100)
+    return found.select("doc_id", "start", "end", "n_chunks", "first_doc_id", F.size("removable").alias("n_removable"))
