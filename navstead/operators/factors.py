@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -35,26 +37,42 @@ def category_composite(
     long = unpivot_metrics(metrics, ["fund_id", "category"], names)
     used = long.join(weights, ["category", "metric"])
     live = used.groupBy("category", "metric", "weight").agg(F.count("value").alias("_have")).where(F.col("_have") > 0)
-    total = live.groupBy("category").agg(F.sum("weight").alias("_wsum"), F.count(F.lit(1)).alias("n_factors"))
+    total = live.groupBy("category").agg(*per_metric(names, "weight", "_w"), F.count(F.lit(1)).alias("n_factors"))
     scored = (
         used.join(live.select("category", "metric"), ["category", "metric"], "left_semi")
         .withColumn("_x", F.col("value") * F.col("direction"))
     )
     ranked = with_percentile_rank(scored, ["category", "metric"], "_x", "_pct", missing=0.5)
     raw = (
-        ranked.join(total, "category")
-        .groupBy("category", "fund_id")
-        .agg(F.sum(F.col("weight") / F.col("_wsum") * F.col("_pct")).alias("raw"), F.max("n_factors").alias("n_factors"))
+        ranked.groupBy("category", "fund_id").agg(*per_metric(names, "_pct", "_p"))
+        .join(total, "category")
+        .select("category", "fund_id", weighted_mean(names).alias("raw"), "n_factors")
     )
     return with_peer_rank(stretch(raw, ["category"]), ["category"])
 
 
+def per_metric(names: Sequence[str], value: str, prefix: str) -> list[Column]:
+    """One column per metric, for a group with at most one row of each."""
+    return [F.max(F.when(F.col("metric") == m, F.col(value))).alias(f"{prefix}_{m}") for m in names]
+
+
+def weighted_mean(names: Sequence[str]) -> Column:
+    """Mean of ``_p_*`` under ``_w_*``, added in the order of names: the same in every run."""
+    zero = F.lit(0.0)
+    weight = [F.coalesce(f"_w_{m}", zero) for m in names]
+    share = [w * F.coalesce(f"_p_{m}", zero) for m, w in zip(names, weight, strict=True)]
+    return F.round(functools.reduce(operator.add, share) / functools.reduce(operator.add, weight), 12)
+
+
 def stretch(raw: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Min-max within the group onto 1..100, one decimal; a flat group sits in the middle."""
+    """Min-max within the group onto 1..100, one decimal; a flat group sits in the middle.
+
+    Rounding in two steps keeps a half from falling either way with the last bit.
+    """
     edges = raw.groupBy(*keys).agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi"))
     spread = safe_divide(F.col("raw") - F.col("_lo"), F.col("_hi") - F.col("_lo"), 0.5)
     return raw.join(edges, list(keys)).withColumn(
-        "composite_score", F.round(F.lit(1.0) + F.lit(99.0) * spread, 1)).drop("_lo", "_hi")
+        "composite_score", F.round(F.round(F.lit(1.0) + F.lit(99.0) * spread, 9), 1)).drop("_lo", "_hi")
 
 
 def with_peer_rank(scored: DataFrame, keys: Sequence[str], value: str = "composite_score") -> DataFrame:
@@ -96,5 +114,7 @@ def cohort_composite(panel: DataFrame, weights: dict[str, float], out: str = "fa
     long = unpivot_metrics(panel, keys, [K.FACTOR_TO_FEATURE[m] for m in live]).join(table, "metric")
     long = long.withColumn("_x", F.col("value") * F.col("direction"))
     ranked = with_percentile_rank(long, ["anchor", "cohort_key", "metric"], "_x", "_pct", missing=0.5)
-    raw = ranked.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("_pct")).alias("raw"))
+    names = sorted(K.FACTOR_TO_FEATURE[m] for m in live)
+    wide = ranked.groupBy(*keys).agg(*per_metric(names, "_pct", "_p"), *per_metric(names, "weight", "_w"))
+    raw = wide.select(*keys, weighted_mean(names).alias("raw"))
     return stretch(raw, ["anchor", "cohort_key"]).withColumnRenamed("composite_score", out).drop("raw")

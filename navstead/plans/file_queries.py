@@ -60,14 +60,26 @@ def _(spark, sf):
     return T.trained_manifest(spark, sf).select("fund_id", peers.benchmark_name("category", "sector").alias("name"))
 
 
-@query("disclosure_scan", sql(f"SELECT fund_id, date_trunc('month', as_of)::DATE as_of, instrument, {r6('weight')} weight, asset_type FROM holdings", "holdings"))
+@query("disclosure_scan", sql(f"""
+  SELECT fund_id, date_trunc('month', as_of)::DATE as_of, instrument, {r6('weight')} weight, CASE WHEN CAST(fund_id AS BIGINT) % 4 = 2 THEN 'equity' ELSE asset_type END asset_type
+  FROM holdings WHERE CAST(fund_id AS BIGINT) % 4 <> 3""", "holdings"))
 def _(spark, sf):
+    """Real CSV files under four headers; those of the last have no weight and give nothing."""
     path = landing(spark, "disclosures")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    name, weight, kind = quoted(F.col("instrument")), F.col("weight").cast("string"), F.upper("asset_type")
+    shapes = ((name, "Symbol", weight, " Weight ", kind, "Type"), (kind, "asset_type", weight, "weight", name, "Instrument"), (F.lit("x"), "note", name, "NAME", weight, "WEIGHT"), (name, "name", kind, "type", F.lit("x"), "note"))
+    which = F.col("fund_id").cast("bigint") % 4
+    line, head = F.lit(""), F.lit("")
+    for i, s in enumerate(shapes):
+        line = F.when(which == i, F.concat_ws(",", s[0], s[2], s[4])).otherwise(line)
+        head = F.when(which == i, F.lit(",".join((s[1], s[3], s[5])))).otherwise(head)
     file = F.concat("fund_id", F.lit("_"), F.date_format("as_of", "yyyy-MM"), F.lit(".csv"))
-    rows = X.holdings(spark, sf).select(
-        file.alias("_file"), F.col("instrument").alias("Symbol"), F.col("weight").cast("string").alias(" Weight "), F.upper("asset_type").alias("Type"))
-    rows.write.option("header", True).parquet(path)
-    return rounded(scans.disclosure(spark.read.parquet(path)).select("fund_id", "as_of", "instrument", "weight", "asset_type"))
+    rows = X.holdings(spark, sf).select(file.alias("file"), head.alias("head"), line.alias("line"))
+    books = rows.groupBy("file").agg(F.concat(F.max("head"), F.lit("\n"), F.array_join(F.collect_list("line"), "\n")).alias("body"))
+    books.write.partitionBy("file").text(path)
+    out = scans.disclosures(spark, path)
+    return rounded(out.select("fund_id", "as_of", "instrument", "weight", "asset_type"))
 
 
 @query("stock_price_scan", sql(f"""

@@ -225,10 +225,10 @@ define("composite", f"""
               + (COUNT(*) OVER (PARTITION BY u.amc, u.metric, x) - 1)/2.0::DOUBLE)
               / COUNT(x) OVER (PARTITION BY u.amc, u.metric) END, 0.5::DOUBLE) p
           FROM u SEMI JOIN live ON live.amc = u.amc AND live.metric = u.metric),
-  raw AS (SELECT fund_id, amc, SUM(w/tw*p) raw, MAX(n_factors) n_factors FROM pct JOIN tot USING (amc) GROUP BY 1, 2),
+  raw AS (SELECT fund_id, amc, round(SUM(w*p)/MAX(tw), 12) raw, MAX(n_factors) n_factors FROM pct JOIN tot USING (amc) GROUP BY 1, 2),
   b AS (SELECT *, MIN(raw) OVER (PARTITION BY amc) lo, MAX(raw) OVER (PARTITION BY amc) hi FROM raw),
   s AS (SELECT fund_id, amc, raw, n_factors,
-          round(1 + 99*CASE WHEN hi - lo > 1e-12 THEN (raw - lo)/(hi - lo) ELSE 0.5::DOUBLE END, 1) composite_score FROM b)
+          round(round(1 + 99*CASE WHEN hi - lo > 1e-12 THEN (raw - lo)/(hi - lo) ELSE 0.5::DOUBLE END, 9), 1) composite_score FROM b)
   SELECT fund_id, amc category, raw, n_factors, composite_score,
          CAST(RANK() OVER (PARTITION BY amc ORDER BY composite_score DESC) AS INTEGER) peer_rank FROM s""", "matrix")
 

@@ -316,9 +316,9 @@ _pct = " + ".join(
     f"/COUNT(x_{m}) OVER (PARTITION BY anchor, gkey) END, 0.5::DOUBLE)" for m, w in _live.items())
 define("fscore", f"""
   WITH t AS (SELECT fund_id, anchor, gkey, y_cohort_q1, {', '.join(f'{_dirs[m]}*round({K.FACTOR_TO_FEATURE[m]}, 9) x_{m}' for m in _live)} FROM train WHERE y_cohort_q1 IS NOT NULL),
-  r AS (SELECT fund_id, anchor, gkey, y_cohort_q1, {_pct} raw FROM t),
+  r AS (SELECT fund_id, anchor, gkey, y_cohort_q1, round({_pct}, 12) raw FROM t),
   b AS (SELECT *, MIN(raw) OVER (PARTITION BY anchor, gkey) lo, MAX(raw) OVER (PARTITION BY anchor, gkey) hi FROM r)
-  SELECT fund_id, anchor, gkey, y_cohort_q1 y, round(1 + 99*CASE WHEN hi - lo > 1e-12 THEN (raw - lo)/(hi - lo) ELSE 0.5::DOUBLE END, 1) p,
+  SELECT fund_id, anchor, gkey, y_cohort_q1 y, round(round(1 + 99*CASE WHEN hi - lo > 1e-12 THEN (raw - lo)/(hi - lo) ELSE 0.5::DOUBLE END, 9), 1) p,
     (SELECT block FROM (VALUES {_vals}) b(block, s, e) WHERE anchor BETWEEN s AND e) block FROM b""", "train")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -37,12 +40,26 @@ _SCRATCH: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a throw-away one if it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The application's folder below the one that the cluster names in ``spark.checkpoint.dir``.
+
+    A session on one machine may name none and gets a throw-away folder.  A cluster must: executors
+    would write to their own disks, and later reads would miss those files.  The folder goes with the
+    application.
+    """
     app = spark.sparkContext.applicationId
-    if not named:
-        named = _SCRATCH.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
-    return f"{named}/navstead-{app}"
+    if app not in _SCRATCH:
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not named:
+            if not re.match(r"local($|\[)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        _SCRATCH[app] = f"{named}/navstead-{app}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH[app])
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return _SCRATCH[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -128,41 +128,43 @@ def benchmark_series(spark: SparkSession, folder: str, meta: DataFrame) -> DataF
     return rows.join(usable, "_slug").where(F.col("level").isNotNull()).select("name", "dt", "level")
 
 
-def _synonym(df: DataFrame, *names: str) -> Column | None:
-    have = {c.lower().strip(): c for c in df.columns}
-    for n in names:
-        if n in have:
-            return F.col(f"`{have[n]}`")
-    return None
+DISCLOSURE_COLUMNS = 64  # fields of a line that are looked at
 
 
-def disclosure(raw: DataFrame) -> DataFrame:
-    """Portfolio lines from any of the accepted headers; without name or weight there are none.
+def _fields(line: Column) -> Column:
+    """Fields of one line of CSV, quotes honoured."""
+    names = [f"c{i}" for i in range(DISCLOSURE_COLUMNS)]
+    row = F.from_csv(line, ", ".join(f"{n} string" for n in names))
+    return F.array(*[row[n] for n in names])
 
-    ``raw`` carries ``_file``; the fund and month come from ``<code>_<yyyy-MM>.csv``.
+
+def disclosures(spark: SparkSession, path: str) -> DataFrame:
+    """Portfolio lines of files (or folders of parts) named ``<code>_<yyyy-MM>.csv``, each read under its own header.
+
+    Accepted headers differ in name, order and case.  A file without a name or a weight column gives
+    no rows, and the others are not touched by it.  A file holds one fund's month, so it is one row
+    until its lines are dealt out; a quoted field may not hold a line break.
     """
-    name, weight = _synonym(raw, "instrument", "name", "symbol"), _synonym(raw, "weight")
-    shape = "fund_id string, as_of date, instrument string, weight double, asset_type string, sector string, cap_band string"
-    if name is None or weight is None:
-        return raw.sparkSession.createDataFrame([], shape)
-    kind, sector = _synonym(raw, "asset_type", "type"), _synonym(raw, "sector")
-    band = _synonym(raw, "cap_band", "cap band", "capband")
-    nothing = F.lit(None).cast("string")
-    file = r"(\d+)_(\d{4}-\d{2})\.csv$"
-    out = raw.where(F.col("_file").rlike(file)).select(
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.split("value", r"\r?\n").alias("_lines"))
+    file = r"(\d+)_(\d{4}-\d{2})\.csv(?:/[^/]*)?$"
+    heads = whole.where(F.col("_file").rlike(file)).select(
+        "_file", F.transform(_fields(F.get("_lines", F.lit(0))), lambda c: F.lower(F.trim(F.regexp_replace(c, "^\ufeff", "")))).alias("_head"), F.slice("_lines", F.lit(2), F.size("_lines")).alias("_lines"))
+    lines = heads.select("_file", "_head", F.explode("_lines").alias("_line")).where(F.trim("_line") != "").select("_file", "_head", _fields(F.col("_line")).alias("_row"))
+
+    def field(*names: str) -> Column:
+        place = F.coalesce(*[F.nullif(F.array_position("_head", n), F.lit(0)) for n in names])
+        return F.get("_row", (place - 1).cast("int"))
+
+    known = F.arrays_overlap("_head", F.array(F.lit("asset_type"), F.lit("type")))
+    kind = F.when(known, F.lower(F.trim(field("asset_type", "type")))).otherwise("equity")
+    named = F.arrays_overlap("_head", F.array(F.lit("instrument"), F.lit("name"), F.lit("symbol")))
+    out = lines.where(named).select(
         F.regexp_extract("_file", file, 1).alias("fund_id"), F.to_date(F.concat(F.regexp_extract("_file", file, 2), F.lit("-01"))).alias("as_of"),
-        F.trim(name.cast("string")).alias("instrument"), finite(weight.cast("string").try_cast("double")).alias("weight"),
-        (F.lower(F.trim(kind)) if kind is not None else F.lit("equity")).alias("asset_type"),
-        (F.trim(sector) if sector is not None else nothing).alias("sector"),
-        (F.lower(F.trim(band)) if band is not None else nothing).alias("cap_band"))
+        F.trim(field("instrument", "name", "symbol")).alias("instrument"), finite(field("weight").try_cast("double")).alias("weight"),
+        kind.alias("asset_type"), F.trim(field("sector")).alias("sector"), F.lower(F.trim(field("cap_band", "cap band", "capband"))).alias("cap_band"))
     return out.where(F.col("weight").isNotNull())
 
 
-def disclosures(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("header", True).csv(path)
-    return disclosure(raw.withColumn("_file", F.col("_metadata.file_name")))
-
-
 def cap_list(raw: DataFrame) -> DataFrame:
     """Official cap list: NSE symbol else BSE symbol, a band word, and a usable company name."""
 

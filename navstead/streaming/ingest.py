@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ledger
@@ -11,14 +12,32 @@ from ..sources import scans
 NAV_SCHEMA = "fund_id string, dt date, nav double"
 
 
-def nav_stream(spark: SparkSession, folder: str, delay: str = "30 days") -> DataFrame:
-    """New price files as they land, one row per (fund, date).
+def nav_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Price rows of new files as they land.
 
-    State is kept only for dates inside the delay; an older repeat is left to the batch clean.
+    There is no watermark on the price date: a fund that joins late brings its whole history.
     """
-    rows = spark.readStream.schema(NAV_SCHEMA).parquet(folder)
-    stamped = rows.selectExpr("*", "cast(dt as timestamp) as at").withWatermark("at", delay)
-    return stamped.dropDuplicatesWithinWatermark(["fund_id", "dt"]).drop("at")
+    return spark.readStream.schema(NAV_SCHEMA).parquet(folder)
+
+
+def append_prices(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append to the price table, one row per (fund, date); the first to arrive stays.
+
+    The table is partitioned by month and each batch meets the months that it touches alone.  Within a
+    batch the lowest price of a date stays, so a replay adds nothing and changes nothing.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        once = batch.where("fund_id IS NOT NULL AND dt IS NOT NULL").groupBy("fund_id", "dt").agg(F.min("nav").alias("nav"))
+        once = once.withColumn("month", F.date_format("dt", "yyyy-MM"))
+        if scans.exists(spark, path):
+            months = [r.month for r in once.select("month").distinct().collect()]  # bounded by the calendar
+            old = spark.read.schema(f"{NAV_SCHEMA}, month string").parquet(path).where(F.col("month").isin(months))
+            once = once.join(old, ["fund_id", "dt"], "left_anti")
+        once.select("fund_id", "dt", "nav", "month").write.mode("append").partitionBy("month").parquet(path)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append_predictions(stream: DataFrame, path: str, checkpoint: str, schema: str = scans.PREDICTION) -> StreamingQuery:

@@ -101,9 +101,16 @@ def test_streams(spark, tmp_path):
     land, out = str(tmp_path / "land"), str(tmp_path / "ledger")
     data = [("1", dt.date(2020, 1, 1), 10.0), ("1", dt.date(2020, 1, 1), 10.0), ("1", dt.date(2020, 1, 2), 11.0)]
     spark.createDataFrame(data, ingest.NAV_SCHEMA).write.parquet(land)
-    q = ingest.nav_stream(spark, land).writeStream.format("memory").queryName("nav_rows").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert spark.table("nav_rows").count() == 2
+    prices = str(tmp_path / "prices")
+    for i in range(2):  # the second time with a checkpoint of its own: everything is replayed
+        ingest.append_prices(ingest.nav_stream(spark, land), prices, str(tmp_path / f"p{i}")).awaitTermination(120)
+        assert spark.read.parquet(prices).count() == 2
+    late = [("2", dt.date(2015, 3, 2), 5.0), ("2", dt.date(2020, 1, 2), 6.0), ("1", dt.date(2020, 1, 2), 99.0)]
+    spark.createDataFrame(late, ingest.NAV_SCHEMA).write.mode("append").parquet(land)
+    for i in range(3):
+        ingest.append_prices(ingest.nav_stream(spark, land), prices, str(tmp_path / f"p{i}")).awaitTermination(120)
+        got = sorted((r.fund_id, str(r.dt), r.nav) for r in spark.read.parquet(prices).collect())
+        assert got == [("1", "2020-01-01", 10.0), ("1", "2020-01-02", 11.0), ("2", "2015-03-02", 5.0), ("2", "2020-01-02", 6.0)]
     source = str(tmp_path / "preds")
     rows(spark, [("1", "2020-01-31", "m", "r", "a", 0.1), ("1", "2020-01-31", "m", "r", "b", 0.1)]).write.parquet(source)
     for i in range(2):
