@@ -75,11 +75,17 @@ def transitions(values: DataFrame) -> list:
 
 
 def log_chain(counts: list) -> list[float]:
-    """Log transition probabilities, row by row, with one added to each count."""
-    table = [[1] * STATES for _ in range(STATES)]
+    """Log transition probabilities, row by row.
+
+    A row leans on the shares of its next states over all rows, as if it had seen STATES of them; so a
+    state that a class rarely holds is unlikely after any other.
+    """
+    seen = [[0] * STATES for _ in range(STATES)]
     for r in counts:
-        table[r.a][r.b] += r.n
-    return [math.log(x / sum(row)) for row in table for x in row]
+        seen[r.a][r.b] += r.n
+    total = sum(map(sum, seen)) + STATES
+    share = [(sum(row[b] for row in seen) + 1) / total for b in range(STATES)]
+    return [math.log((n + STATES * p) / (sum(row) + STATES)) for row in seen for n, p in zip(row, share, strict=True)]
 
 
 def spans_text(spans: Column) -> Column:
