@@ -201,17 +201,17 @@ SECTOR_BENCHMARKS = {
 
 # --- Fixed values: sector vocabulary, checked in this order ------------------------
 STRATEGY_MARKERS = (
-    (r"innovation|innovative|pioneer", "innovation theme"),
-    (r"momentum", "momentum factor"),
-    (r"special opportunit", "opportunistic mandate"),
-    (r"multi.?factor|quantamental|minimum variance|\bquality\b", "factor strategy"),
-    (r"sector rotation", "rotates across sectors"),
-    (r"conglomerate", "cross-sector holding companies"),
-    (r"ethical|shariah", "religious-law screen"),
-    (r"international|global|asian|japan|taiwan|\bus\b|china|europe", "non-domestic mandate"),
-    (r"rural", "rural theme"),
-    (r"(?<!financial )(?<!financials )\bservices\b", "broad services theme"),
-    (r"\bipo\b|recently listed", "listing-age theme"),
+    (r"innovation|innovative|pioneer", "INNOVATION"),
+    (r"momentum", "MOMENTUM"),
+    (r"special opportunit", "SPECIAL_SITUATIONS"),
+    (r"multi.?factor|quantamental|minimum variance|\bquality\b", "FACTOR"),
+    (r"sector rotation", "ROTATION"),
+    (r"conglomerate", "CONGLOMERATES"),
+    (r"ethical|shariah", "BELIEF_SCREEN"),
+    (r"international|global|asian|japan|taiwan|\bus\b|china|europe", "FOREIGN"),
+    (r"rural", "RURAL"),
+    (r"(?<!financial )(?<!financials )\bservices\b", "SERVICES"),
+    (r"\bipo\b|recently listed", "NEW_LISTINGS"),
 )
 SECTOR_RULES = (
     (r"banking|bfsi|financial services|financials services|financial svcs", "Banking/Financial Services"),

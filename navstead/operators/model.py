@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -120,36 +121,43 @@ class Calibration:
         return sigmoid(F.lit(self.coef) * logit(p) + F.lit(self.intercept))
 
 
-def merge_thin_blocks(blocks: list[tuple[float, int, int]], min_n: int = K.CALIBRATION_MIN_BLOCK) -> list[tuple[float, float, int]]:
-    """Pool neighbouring (x_max, n, positives) blocks until each has ``min_n`` rows.
+class Block(NamedTuple):
+    """Rows of one calibrated value: the highest score among them, their number, and the positives."""
 
-    The smallest block joins its smaller neighbour (the left one on a tie).  A first or last
-    block of one class only is bounded by the rule of three.  Works on tens of blocks.
+    upper: float
+    rows: int
+    positives: int
+
+    def joined(self, other: Block) -> Block:
+        return Block(max(self.upper, other.upper), self.rows + other.rows, self.positives + other.positives)
+
+
+def end_rate(rows: int, inner: float) -> float:
+    """Rate of an end block in which nothing happened: three in its rows, at most a half, and below the inner block."""
+    most = min(0.5, 3.0 / rows) if rows else 0.5
+    return min(most, inner / 2) if inner > 0 else most
+
+
+def merge_thin_blocks(blocks: Iterable[tuple[float, int, int]], least: int = K.CALIBRATION_MIN_BLOCK) -> list[tuple[float, float, int]]:
+    """(upper score, rate, rows) of blocks with at least ``least`` rows each.
+
+    While the thinnest block has fewer, it goes to whichever neighbour has fewer rows, the lower one if
+    both have as many.  The table has tens of blocks.
     """
-    pool = [list(b) for b in blocks]
-    while len(pool) > 1:
-        i = min(range(len(pool)), key=lambda k: pool[k][1])
-        if pool[i][1] >= min_n:
-            break
-        left = i > 0 and (i == len(pool) - 1 or pool[i - 1][1] <= pool[i + 1][1])
-        a = i - 1 if left else i
-        low, high = pool[a], pool[a + 1]
-        pool[a:a + 2] = [[max(low[0], high[0]), low[1] + high[1], low[2] + high[2]]]
-    rates = [b[2] / b[1] for b in pool]
-
-    def bound(n: int) -> float:
-        return min(0.5, 3.0 / max(n, 1))
-
-    if len(rates) > 1:
-        if rates[0] <= 0.0:
-            rates[0] = min(bound(pool[0][1]), rates[1] / 2) if rates[1] > 0 else bound(pool[0][1])
-        if rates[-1] >= 1.0:
-            rates[-1] = max(1.0 - bound(pool[-1][1]), (rates[-2] + 1.0) / 2)
-    knots: list[tuple[float, float, int]] = []
-    for (x, n, _), rate in zip(pool, rates):
-        if not knots or x > knots[-1][0]:
-            knots.append((x, rate, n))
-    return knots
+    table = [Block(*b) for b in blocks]
+    while len(table) > 1 and min(b.rows for b in table) < least:
+        thin = min(range(len(table)), key=lambda i: table[i].rows)
+        mates = [i for i in (thin - 1, thin + 1) if 0 <= i < len(table)]
+        low, high = sorted((thin, min(mates, key=lambda i: table[i].rows)))
+        table = [*table[:low], table[low].joined(table[high]), *table[high + 1:]]
+    rate = [b.positives / b.rows for b in table]
+    if len(table) > 1:
+        if not table[0].positives:
+            rate[0] = end_rate(table[0].rows, rate[1])
+        if table[-1].positives == table[-1].rows:  # the same of what did not happen
+            rate[-1] = 1.0 - end_rate(table[-1].rows, 1.0 - rate[-2])
+    highest = [max(b.upper for b in table[:i]) if i else float("-inf") for i in range(len(table))]
+    return [(b.upper, r, b.rows) for b, r, before in zip(table, rate, highest, strict=True) if b.upper > before]
 
 
 def isotonic_blocks(scored: DataFrame, p: str, label: str) -> DataFrame:
