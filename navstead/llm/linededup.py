@@ -141,5 +141,5 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
         .select("doc_id", F.array("hi", "lo").alias("key")).groupBy("doc_id").agg(F.flatten(F.collect_list("key")).alias("_drops"))  # at most a document's own lines
     )
     plain = docs.drop("n_lines", "n_dropped")
-    joined = plain.withColumn("_at", F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))).join(dropped.withColumnRenamed("doc_id", "_at"), "_at", "left")
+    joined = plain.withColumn("_at", F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))).join(dropped.withColumnRenamed("doc_id", "_at").hint("shuffle_hash"), "_at", "left")  # texts stream by: no sort
     return drop_lines(joined.select(*[F.col(f"`{c}`") for c in plain.columns], "_drops"), text_col, "_drops", min_chars)
