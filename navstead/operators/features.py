@@ -71,7 +71,7 @@ def _state(nav: DataFrame, members: DataFrame, pairs: DataFrame, days: int, rate
     sums = {
         "n_r": own_r.isNotNull().cast("int"), "s_r": own_r, "ss_r": own_r * own_r, "dn_r": short * short,
         "roll_n": F.col("roll_n"), "roll_neg": F.col("roll_neg"),
-        "peer_log": F.log1p("c"),
+        "peer_log": F.log1p("c"), "peer_lost": (F.col("c") <= -1).cast("int"), "j_lost": ((f <= -1) | (c <= -1)).cast("int"),
         "j_n": both.cast("int"), "j_f": f, "j_c": c, "j_ff": f * f, "j_cc": c * c, "j_fc": f * c, "j_aa": (f - c) * (f - c),
         "j_lf": F.log1p(f), "j_lc": F.log1p(c),
         "u_n": (both & (F.col("c") > 0)).cast("int"), "u_f": F.when(c > 0, F.log1p(f)), "u_c": F.when(c > 0, F.log1p(c)),
@@ -102,7 +102,8 @@ def _trailing(end: Column, start: Column, years: int) -> Column:
 
 def _peer_trailing(end: Column, start: Column, years: int) -> Column:
     span = years_between(_fresh(end, "peer_dt"), _fresh(start, "peer_dt"))
-    return F.when(span >= years - 0.1, growth_rate(F.exp(end["peer_log"] - start["peer_log"]), span))
+    whole = end["peer_lost"] == start["peer_lost"]  # a loss of everything leaves no product
+    return F.when((span >= years - 0.1) & whole, growth_rate(F.exp(end["peer_log"] - start["peer_log"]), span))
 
 
 def _simple(end: Column, start: Column) -> Column:
@@ -138,15 +139,15 @@ def own_and_peer_features(
     excess3 = F.when(n3 >= 3, s3 / F.when(n3 > 0, n3) - rate)
     downside3 = F.sqrt(F.greatest(F.lit(0.0), dn3 / F.when(n3 > 0, n3)))
 
-    j = {k: t[k] - lo[k] for k in ("j_n", "j_f", "j_c", "j_ff", "j_cc", "j_fc", "j_aa", "j_lf", "j_lc",
+    j = {k: t[k] - lo[k] for k in ("j_n", "j_f", "j_c", "j_ff", "j_cc", "j_fc", "j_aa", "j_lf", "j_lc", "j_lost",
                                     "u_n", "u_f", "u_c", "d_n", "d_f", "d_c")}
     joint_ok = (j["j_n"] >= K.MIN_JOINT_OBS) & (at("cov")["j_n"] - lo["j_n"] > 0)
     jn = F.when(j["j_n"] > 0, j["j_n"])
     var_c = (j["j_cc"] - j["j_c"] * j["j_c"] / jn) / F.when(jn > 1, jn - 1)
     cov_fc = (j["j_fc"] - j["j_f"] * j["j_c"] / jn) / F.when(jn > 1, jn - 1)
     te = stddev_from(j["j_n"], j["j_f"] - j["j_c"], j["j_aa"]) * root
-    ann_f = annualise(F.exp(j["j_lf"]), j["j_n"], days)
-    ann_c = annualise(F.exp(j["j_lc"]), j["j_n"], days)
+    ann_f = F.when(j["j_lost"] == 0, annualise(F.exp(j["j_lf"]), j["j_n"], days))
+    ann_c = F.when(j["j_lost"] == 0, annualise(F.exp(j["j_lc"]), j["j_n"], days))
 
     def capture(side: str) -> Column:
         k = F.when(j[f"{side}_n"] > 10, j[f"{side}_n"])

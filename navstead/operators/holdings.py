@@ -187,11 +187,13 @@ def overlay_cap_bands(lines: DataFrame, bands: DataFrame) -> DataFrame:
     return joined.select(*[c for c in lines.columns if c != "cap_band"], band.alias("cap_band"))
 
 
-def snapshots(books: DataFrame, today: Column) -> DataFrame:
+def snapshots(books: DataFrame, today: Column, funds: DataFrame | None = None) -> DataFrame:
     """The disclosure nearest to today, three and five years back; ties take the earlier one.
 
-    ``books`` has one row per (fund_id, as_of).
+    ``books`` has one row per (fund_id, as_of).  A fund of ``funds`` without any appears as not available.
     """
+    if funds is not None:
+        books = funds.select("fund_id").join(books.select("fund_id", "as_of"), "fund_id", "left")
     targets = F.explode(F.array(*[
         F.struct(F.lit(n).alias("label"), F.add_months(today, -m).alias("target")) for n, m in (("t-5y", 60), ("t-3y", 36), ("current", 0))
     ])).alias("t")

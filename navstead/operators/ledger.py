@@ -36,7 +36,9 @@ def _complete(keys: Sequence[str] = KEY) -> Column:
 def _first_copies(rows: DataFrame, order: Sequence[str], keys: Sequence[str] = KEY) -> DataFrame:
     """The first row of every key.  An aggregate, so a key with very many copies shrinks in each task."""
     whole = F.struct(*rows.columns)
-    first = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min_by(whole, F.struct(*order)).alias("_r"))
+    # a batch is stamped with one second: what the row holds decides among equal stamps
+    ties = [c for c in ("run_id", "row_hash", "probability") if c in rows.columns and c not in order]
+    first = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min_by(whole, F.struct(*order, *ties)).alias("_r"))
     return first.select("_r.*")
 
 
@@ -151,7 +153,9 @@ def rank_stability(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Spearman of the probabilities two runs share, as one row with a status."""
     keys = ["fund_id", "target", "_m"]
     now = current.select("fund_id", "target", F.coalesce("model_id", F.lit("")).alias("_m"), F.col("probability").alias("p1"))
-    then = previous.select("fund_id", "target", F.coalesce("model_id", F.lit("")).alias("_m"), F.col("probability").alias("p0"))
+    then = previous.select("fund_id", "target", F.coalesce("model_id", F.lit("")).alias("_m"), F.col("probability").alias("p0"), *[F.col(c) for c in ("logged_at", "row_hash") if c in previous.columns])
+    last = F.struct(*[c for c in ("logged_at", "row_hash") if c in then.columns], "p0")
+    then = then.groupBy(*keys).agg(F.max_by("p0", last).alias("p0"))  # one score per key, the last logged
     got = spearman(now.join(then, keys), "p1", "p0", "_s", center=0.5, scale=0.2)
     seen = previous.agg(F.count(F.lit(1)).alias("_prev"), F.max("run_id").alias("prev_run_id"))
     both = got.withColumn("_p", seen.agg(F.any_value(F.struct("_prev", "prev_run_id"))).scalar())

@@ -155,7 +155,7 @@ def score_live(requests: DataFrame, manifest: DataFrame, nav: DataFrame, master:
     final = out.join(codes, ["gkey", "anchor"], "left")
     return final.select(
         "fund_id", status.alias("status"), F.lit(target).alias("target"), "anchor", "staleness_days",
-        F.when(late_seen(status), F.col("gkey")).alias("cohort_key"), F.when(late_seen(status), F.col("cohort_n")).otherwise(0).cast("int").alias("cohort_n"),
+        F.when(late_seen(status), F.col("gkey")).when(status.isin("OUT_OF_TRAINING_UNIVERSE", "SECTOR_UNRESOLVED"), F.col("category")).alias("cohort_key"), F.when(late_seen(status), F.col("cohort_n")).otherwise(0).cast("int").alias("cohort_n"),
         F.when(late_seen(status), F.col("universe_n")).otherwise(0).cast("int").alias("universe_n"),
         F.when(ok, F.col("probability")).alias("probability"), F.when(ok, F.col("_pct")).alias("cohort_percentile"),
         F.when(measured, F.col("imputed")).alias("imputed_features"), F.when(measured, F.lit(len(features))).alias("n_features"),

@@ -154,7 +154,7 @@ def _(spark, sf):
 
 
 # --- drift -------------------------------------------------------------------------------
-DRIFT = ("cagr_1y", "vol_1y", "mom_6m", "mom_12m_ex1m", "max_dd_3y", "current_dd", "excess_1y", "beta_3y")
+DRIFT = tuple(K.DRIFT_FEATURES)
 _long = lambda src: " UNION ALL ".join(f"SELECT '{f}' feature, round({f}, 9) v FROM {src}" for f in DRIFT)
 define("dlong", f"SELECT * FROM ({_long('panel')})", "panel")
 define("edges", """

@@ -16,7 +16,7 @@ from .registry import query, rounded
 
 BLOCKS, START, HORIZON = X.DERIVED_BLOCKS, "1996-01-31", 3
 TRAIN_END, TEST = "1997-06-30", ("1998-03-31", "1998-10-31")
-USED = ("cagr_1y", "vol_1y", "mom_6m", "mom_12m_ex1m", "current_dd", "rank_3y", "excess_1y", "is_thematic")
+USED = tuple(K.FEATURES)
 
 
 @stored
@@ -269,7 +269,7 @@ def _(spark, sf):
     return rounded(X.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", lo.alias("lo"), sigmoid(lo).alias("back")))
 
 
-FITTED = ("cagr_1y", "vol_1y", "mom_6m", "current_dd", "rank_3y", "excess_1y", "is_thematic")
+FITTED = tuple(K.FEATURES)
 
 
 @query("elastic_net_folds")

@@ -418,9 +418,9 @@ def _(spark, sf):
 
 define("senti2", "SELECT fund_id, net_sentiment, n_red_flags FROM senti", "senti")
 define("vin", """
-  SELECT u.*, m.macs, COALESCE(c.nc, 0) n_critical, COALESCE(c.nw, 0) n_warning, s.net_sentiment, CASE WHEN CAST(u.fund_id AS BIGINT) % 6 = 1 THEN s.n_red_flags ELSE 0 END n_red_flags
-  FROM util u LEFT JOIN (SELECT fund_id, macs FROM macs WHERE CAST(fund_id AS BIGINT) % 9 <> 5) m USING (fund_id)
-  LEFT JOIN (SELECT fund_id, COUNT(*) FILTER (severity = 'critical' AND CAST(fund_id AS BIGINT) % 3 = 0) nc, COUNT(*) FILTER (severity = 'warning') nw FROM findings WHERE NOT passed GROUP BY 1) c USING (fund_id)
+  SELECT u.*, m.macs, COALESCE(c.nc, 0) n_critical, COALESCE(c.nw, 0) n_warning, s.net_sentiment, s.n_red_flags
+  FROM util u LEFT JOIN (SELECT fund_id, macs FROM macs) m USING (fund_id)
+  LEFT JOIN (SELECT fund_id, COUNT(*) FILTER (severity = 'critical') nc, COUNT(*) FILTER (severity = 'warning') nw FROM findings WHERE NOT passed GROUP BY 1) c USING (fund_id)
   LEFT JOIN senti2 s USING (fund_id)""", "util", "macs", "findings", "senti2")
 
 
@@ -439,11 +439,10 @@ COLOURS = ("c_cagr", "c_excess", "c_sortino", "c_drawdown", "c_consistency", "c_
 
 @stored
 def coloured(spark, sf):
-    key = F.col("fund_id").cast("bigint")
-    macs = holdings.manager_score(H.audit_rows(spark, sf)).where(key % 9 != 5).select("fund_id", "macs")
+    macs = holdings.manager_score(H.audit_rows(spark, sf)).select("fund_id", "macs")
     failed = findings(spark, sf).where(~F.col("passed")).groupBy("fund_id").agg(
-        F.count_if((F.col("severity") == "critical") & (F.col("fund_id").cast("bigint") % 3 == 0)).alias("n_critical"), F.count_if(F.col("severity") == "warning").alias("n_warning"))
-    tone = H.sentiment_rows(spark, sf).select("fund_id", "net_sentiment", F.when(key % 6 == 1, F.col("n_red_flags")).otherwise(0).alias("n_red_flags"))
+        F.count_if(F.col("severity") == "critical").alias("n_critical"), F.count_if(F.col("severity") == "warning").alias("n_warning"))
+    tone = H.sentiment_rows(spark, sf).select("fund_id", "net_sentiment", "n_red_flags")
     rows = utilities(spark, sf).join(macs, "fund_id", "left").join(failed, "fund_id", "left").join(tone, "fund_id", "left")
     return suitability.with_colours(rows.fillna(0, ["n_critical", "n_warning"]))
 

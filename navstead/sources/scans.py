@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -216,7 +216,9 @@ def curated_file(spark: SparkSession, path: str) -> DataFrame | None:
     if not exists(spark, path):
         return None
     raw = spark.read.option("header", True).csv(path)
-    return raw.withColumn("row_no", F.monotonically_increasing_id() + 2)
+    # a sheet that people edit: its rows are few, and their order in the file decides between them
+    order = Window.orderBy("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return raw.withColumn("row_no", F.row_number().over(order).cast("bigint") + 1)
 
 
 def ledger(spark: SparkSession, path: str, schema: str = PREDICTION) -> DataFrame:
