@@ -13,6 +13,7 @@ one by one; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import array
 import functools
 import re
 import zlib
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-REMEMBERED = 400_000  # words kept by a task
+REMEMBERED = 300_000  # words in each of the two generations that a task keeps
 UNKNOWN_PENALTY = 10.0
 SEARCHED = 1024  # slots looked at together when a node's children are placed
 
@@ -93,38 +94,42 @@ class Pieces:
         self.score = [model.get_score(i) for i in range(n)]
         self.unknown_score = min(self.score[i] for i in normal) - UNKNOWN_PENALTY
         self.trie = DoubleArray({self.text[i].encode(): i for i in normal})
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def viterbi(self, word: str) -> tuple[int, ...]:
+    def viterbi(self, word: str) -> list[int]:
         """Ids of the best path over one word."""
         data = word.encode()
         n = len(data)
         best: list[float] = [0.0] + [float("-inf")] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        origin, last = [0] * (n + 1), [-1] * (n + 1)
         base, check, value, score = self.trie.base, self.trie.check, self.trie.value, self.score
         begin = 0
         while begin < n:
             here, lead = best[begin], data[begin]
             width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            node, single = 0, False
-            for end in range(begin, n):
-                nxt = base[node] + data[end] + 1
-                if check[nxt] != node or not nxt:
+            node, end, single = 0, begin, begin + width
+            covered = False
+            for b in data[begin:]:
+                child = base[node] + b + 1
+                if check[child] != node:
                     break
-                node = nxt
+                node = child
+                end += 1
                 piece = value[node]
                 if piece >= 0:
-                    single = single or end + 1 == begin + width
+                    if end == single:
+                        covered = True
                     total = here + score[piece]
-                    if total > best[end + 1]:
-                        best[end + 1], back[end + 1] = total, (begin, piece)
-            if not single and here + self.unknown_score > best[begin + width]:
-                best[begin + width], back[begin + width] = here + self.unknown_score, (begin, -1)
-            begin += width
+                    if total > best[end]:
+                        best[end], origin[end], last[end] = total, begin, piece
+            if not covered and here + self.unknown_score > best[single]:
+                best[single], origin[single], last[single] = here + self.unknown_score, begin, -1
+            begin = single
         out: list[int] = []
         at = n
         while at:
-            begin, piece = back[at]
+            begin, piece = origin[at], last[at]
             if piece >= 0:
                 out.append(piece)
             elif self.byte_id:
@@ -132,21 +137,33 @@ class Pieces:
             else:
                 out.append(self.unknown)
             at = begin
-        return tuple(reversed(out))
-
-    def encode(self, text: str | None) -> list[int]:
+        return out[::-1]
+
+    def solved(self, word: str) -> bytes:
+        """Packed ids of a word that the young generation lacks; the old one is asked before the trie."""
+        ids = self.old.get(word)
+        if ids is None:
+            ids = array.array("i", self.viterbi(word)).tobytes()
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young[word] = ids
+        return ids
+
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a text as 32-bit integers."""
         if not text:
-            return []
-        out: list[int] = []
-        words = self.words
+            return b""
+        parts, look = [], self.young.get
         for word in SEGMENT.findall(MARK + text.replace(" ", MARK)):
-            ids = words.get(word)
+            ids = look(word)
             if ids is None:
-                if len(words) >= REMEMBERED:
-                    words.clear()
-                ids = words[word] = self.viterbi(word)
-            out += ids
-        return out
+                ids = self.solved(word)
+                look = self.young.get
+            parts.append(ids)
+        return b"".join(parts)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: bytes join to characters, markers become spaces, and the first one goes."""
@@ -170,8 +187,10 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                ids = [np.array(coder.encode(t.as_py()), np.int32) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                packed = [coder.packed(t.as_py()) for t in part.column(1)]
+                ends = np.cumsum([0, *map(len, packed)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -187,7 +206,9 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                ids = [np.array([] if x is None else x, "<u4") for x in part.column(1).to_pylist()]
+                lists = part.column(1)
+                flat, ends = lists.flatten().to_numpy().astype("<u4"), np.cumsum([0, *[n or 0 for n in lists.value_lengths().to_pylist()]])
+                ids = [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
                 columns = [
                     part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()),
                     pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array([coder.decode(x.tolist()) for x in ids], pa.string()),
