@@ -27,6 +27,7 @@ from ..session import cut_lineage, shared_folder
 
 BLANK = b" \t\n\v\f\r"
 LOWEST = -(2**63)
+SLICE = 1024  # texts at a time
 KEYS = "doc_id long, hi long, lo long"
 
 
@@ -42,15 +43,16 @@ def line_keys(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> Da
     """One row per document and distinct key."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, found = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                lines = (text.as_py() or "").encode().split(b"\n")
-                keys = {k for line in lines if (k := line_key(line, min_chars)) is not None}
-                ids += [doc] * len(keys)
-                found += keys
-            halves = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc_id", "hi", "lo"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch, ids, found = whole.slice(at, SLICE), [], []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    lines = (text.as_py() or "").encode().split(b"\n")
+                    keys = {k for line in lines if (k := line_key(line, min_chars)) is not None}
+                    ids += [doc] * len(keys)
+                    found += keys
+                halves = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc_id", "hi", "lo"])
 
     chosen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc_id"), F.col(text_col).alias("text"))
     return chosen.mapInArrow(scan, KEYS)
@@ -100,21 +102,23 @@ def drop_lines(docs: DataFrame, text_col: str, drops: str, min_chars: int) -> Da
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_fields) + ", n_lines long, n_dropped long"
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, n_lines, n_dropped = [], [], []
-            for text, drop in zip(batch.column(text_col), batch.column(drops), strict=True):
-                text, kept, lines = text.as_py() or "", [], []
-                if drop.is_valid:
-                    digests = drop.values.to_numpy(zero_copy_only=False).astype("<i8").tobytes()
-                    gone = {digests[i : i + 16] for i in range(0, len(digests), 16)}
-                    lines = text.encode().split(b"\n")
-                    kept = [line for line in lines if line_key(line, min_chars) not in gone]
-                    text = b"\n".join(kept).decode()
-                n_lines.append(len(lines) if lines else text.count("\n") + 1)
-                n_dropped.append(len(lines) - len(kept))
-                texts.append(text)
-            columns = [pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                texts, n_lines, n_dropped = [], [], []
+                for text, drop in zip(batch.column(text_col), batch.column(drops), strict=True):
+                    text, kept, lines = text.as_py() or "", [], []
+                    if drop.is_valid:
+                        digests = drop.values.to_numpy(zero_copy_only=False).astype("<i8").tobytes()
+                        gone = {digests[i : i + 16] for i in range(0, len(digests), 16)}
+                        lines = text.encode().split(b"\n")
+                        kept = [line for line in lines if line_key(line, min_chars) not in gone]
+                        text = b"\n".join(kept).decode()
+                    n_lines.append(len(lines) if lines else text.count("\n") + 1)
+                    n_dropped.append(len(lines) - len(kept))
+                    texts.append(text)
+                columns = [pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
     return docs.mapInArrow(strip, schema)
 
@@ -137,7 +141,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
         runs.add(batch if i == batches - 1 else batch.where(F.col("doc_id") < cuts[i]))
     shared = runs.all().where(F.col("n_docs") >= min_docs)
     dropped = (
-        keys.join(shared, ["hi", "lo"]).where(F.col("doc_id") < F.col("keeper"))
+        keys.join(shared.hint("shuffle_hash"), ["hi", "lo"]).where(F.col("doc_id") < F.col("keeper"))
         .select("doc_id", F.array("hi", "lo").alias("key")).groupBy("doc_id").agg(F.flatten(F.collect_list("key")).alias("_drops"))  # at most a document's own lines
     )
     plain = docs.drop("n_lines", "n_dropped")
