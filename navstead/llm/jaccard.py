@@ -185,28 +185,29 @@ def edge_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
-    """Star edges of the candidate graph over classes (doc_id, size, prefix, bits).
+    """Star edges of the candidate graph over classes (row, doc_id, size, prefix, bits), one row per class.
 
     A band holds sizes within a factor of the threshold; a set is at home in its own and visits the
-    next, so every compatible pair meets with at least one of the two at home.
+    next, so every compatible pair meets with at least one of the two at home.  Postings name sets by
+    ``row``: a doc_id may be the first of several classes, and what repeats would cancel in a signature.
     """
-    tokens = sets.select("doc_id", "size", F.explode("prefix").alias("token"))
+    tokens = sets.select("row", "size", F.explode("prefix").alias("token"))
     frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
     ratio = percent / 100
     band = F.floor(F.log(F.col("size").cast("double")) / -float(np.log(ratio)) + 1e-9).cast("int")
     shared = tokens.join(frequent, "token").withColumn("own", band)
-    placed = cut_lineage(shared.select("doc_id", "token", F.explode(F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")), F.struct((F.col("own") + 1).alias("band"), F.lit(False).alias("home")))).alias("x")).select("doc_id", "token", "x.*"))
+    placed = cut_lineage(shared.select("row", "token", F.explode(F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")), F.struct((F.col("own") + 1).alias("band"), F.lit(False).alias("home")))).alias("x")).select("row", "token", "x.*"))
     buckets = placed.groupBy("token", "band").agg(
-        F.count_if("home").alias("homes"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id", "home")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "home", "doc_id")).alias("s2"),
+        F.count_if("home").alias("homes"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("row", "home")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "home", "row")).alias("s2"),
     ).where("homes > 0 AND n > 1")
-    # n-grams of the same documents form the same pairs: one of them is enough
+    # n-grams of the same sets form the same pairs: one of them is enough
     once = buckets.groupBy("homes", "n", "s1", "s2").agg(F.min(F.struct("token", "band")).alias("k")).select("k.token", "k.band", F.ceil(F.col("n") / CHUNK_POSTINGS).cast("int").alias("chunks"))
-    spot = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("chunks")).cast("int")
+    spot = F.pmod(F.xxhash64(F.lit(3), "row"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     posted = placed.join(once, ["token", "band"]).withColumn("mine", spot).withColumn("other", other)
     # chunk i meets chunk j once, in block (low, high)
-    posted = posted.select("doc_id", "token", "band", "home", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    rows = posted.join(sets.select("doc_id", "size", "bits"), "doc_id")
+    posted = posted.select("row", "token", "band", "home", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    rows = posted.join(sets.select("row", "doc_id", "size", "bits"), "row").drop("row")
     keys = ["token", "band", "low", "high"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,10 +370,10 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_
     """(doc_id, n_shingles, component_id) per row: components of similarity of ``percent`` or more."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = docs.sparkSession.sparkContext.broadcast(order_sketch(texts, n))  # 2**SLOT_BITS bytes
-    every = cut_lineage(set_table(texts, n, percent, sketch))
+    every = cut_lineage(set_table(texts, n, percent, sketch).withColumn("row", F.monotonically_increasing_id()))
     some = every.where("doc_id IS NOT NULL AND size > 0")
-    classes = cut_lineage(some.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
-    sets = some.join(classes, ["digest", "doc_id"])
+    classes = cut_lineage(some.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("digest", "x.*"))
+    sets = some.join(classes.select("row"), "row")
     clusters = components(candidate_edges(sets, percent)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,10 +384,10 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_
     chosen = texts.join(clusters, "doc_id").select("cluster", "doc_id", "text")
     links = cluster_links(chosen.mapInArrow(tokens, "cluster long, doc_id long, tokens array<long>"), percent)
     twice = some.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
-    member = some.select("doc_id", "digest").join(classes.withColumnRenamed("doc_id", "first"), "digest")
+    member = some.select("doc_id", "digest").join(classes.select("digest", F.col("doc_id").alias("first")), "digest")
     versions = member.join(twice, "doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))  # rows that repeat a doc_id
     found = components(links.union(versions)).select(F.col("node").alias("first"), "component")
-    firsts = classes.withColumnRenamed("doc_id", "first").join(found, "first", "left").select("digest", F.coalesce("component", "first").alias("component"))
+    firsts = classes.select("digest", F.col("doc_id").alias("first")).join(found, "first", "left").select("digest", F.coalesce("component", "first").alias("component"))
     return every.select("doc_id", "size", "digest").join(firsts, "digest", "left").select(
         "doc_id", F.col("size").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"),

@@ -218,6 +218,20 @@ def test_jaccard_components(spark, docs, monkeypatch, chunk):
     assert len({expected[d] for d in range(100, 113)}) == 1
 
 
+@pytest.mark.parametrize("texts_per_id", [1, 2])
+def test_jaccard_of_a_table_united_with_itself(spark, texts_per_id):
+    fresh = lambda i: [f"p{i}w{k}" for k in range(60)]
+    rows = []
+    for i in range(0, 24, 2):  # separate pairs; with two texts to an id, each id is the first of two classes
+        for v in range(texts_per_id):
+            rows += [(i, " ".join(fresh(1000 * v + i))), (i + 1, " ".join([*fresh(1000 * v + i), "end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.ngram_jaccard_components(df.union(df).repartition(3)).collect()
+    expected = brute.jaccard_components(rows)
+    assert len(got) == 2 * len(rows) and len(set(expected.values())) == 12
+    assert {(r.doc_id, r.component_id) for r in got} == set(expected.items())
+
+
 def test_jaccard_of_an_empty_table(empty):
     assert jaccard.ngram_jaccard_components(empty).count() == 0
 
