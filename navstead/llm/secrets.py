@@ -95,13 +95,13 @@ def spans_text(spans: Column) -> Column:
 
 
 def ratio_table(docs: DataFrame, text: Column, scanned: DataFrame, samples: int) -> list[int] | None:
-    """Log-likelihood ratios of transitions, from at most ``samples`` found values and as many documents without any.
+    """Log-likelihood ratios of transitions, from at most ``samples`` distinct found values and as many documents without any.
 
     The samples are those of the lowest hashes, so they do not depend on the partitions.
     """
     value = lambda s: F.substr(F.col("_text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
     hits = scanned.where(F.size("_base") > 0).select(F.explode(F.transform("_base", lambda s: F.when(s["kind"] == 0, F.regexp_extract(value(s), ASSIGN, 2)).otherwise(value(s)))).alias("value"))
-    random = hits.where(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")).orderBy(F.xxhash64("value"), "value").limit(samples)
+    random = hits.where(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")).distinct().orderBy(F.xxhash64("value"), "value").limit(samples)
     found = transitions(random)
     if not found:
         return None

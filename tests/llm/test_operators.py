@@ -319,6 +319,21 @@ def test_model_finds_unnamed_random_strings(spark):
     assert not got[201].all_spans and not any(got[100 + i].all_spans for i in range(60))
 
 
+def test_copies_of_one_secret_do_not_fill_the_sample(spark):
+    rng = random.Random(7)
+    key = lambda n=28: "".join(rng.choices(secrets.KEY_CHARS[:62], k=n))
+    values = [key() for _ in range(400)]
+    hashed = spark.createDataFrame([(v,) for v in values], "value string").orderBy(F.xxhash64("value"), "value")
+    lowest = hashed.first().value
+    rows = [(i, f"{words(i, 50)} password: {v} end") for i, v in enumerate(values)] + [(500 + i, f"password: {lowest} end") for i in range(400)]
+    rows += [(1000 + i, words(i, 90) + " some_long_identifier_name_v2 of release") for i in range(60)]
+    # texts of high hashes are not among the ordinary documents that the other chain learns from
+    unnamed = spark.createDataFrame([(f"see {key(32)} here",) for _ in range(200)], "text string").orderBy(F.xxhash64("text").desc()).limit(4)
+    rows += [(2000 + i, r.text) for i, r in enumerate(unnamed.collect())]
+    found = secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string"), samples=400).where("doc_id >= 2000").collect()
+    assert [r.doc_id for r in found if not r.all_spans] == [] and len(found) == 4
+
+
 def test_redaction(docs):
     got = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
     assert got == {d: brute.redact(t) for d, t in pairs(docs)}
