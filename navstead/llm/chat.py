@@ -7,7 +7,8 @@ for one of the template, and reading back is exact; a newline in a role also get
 Windows are spans of whole turns.  Prefix sums of turn tokens choose them: the turns that start in
 one cell of half the room form a window, and a turn longer than a cell has a window of its own.  So a
 window stays in the budget unless one turn alone is longer than it (or the system turn leaves no
-room).  Each window keeps the system turn, repeats the turns of the last ``history`` tokens before
+room).  The budget counts the units of ``token_count``: with 512 (history 96) the largest window of
+sf0.01 had 1,101 tokens of the byte BPE.  Each window keeps the system turn, repeats the turns of the last ``history`` tokens before
 it, and masks both: every assistant text is under the loss mask once.
 
 Defined cases: null text or role is empty; turns of equal number go by role, then text; a null
@@ -36,7 +37,10 @@ def unescaped(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Words, each further eight characters of a long word, and signs: an upper estimate of what a tokenizer makes of prose."""
+    """Words, each further eight characters of a long word, and signs: a unit of its own, no bound on a tokenizer's tokens.
+
+    On the conversations of sf0.01 the byte BPE makes 112,307 tokens of 57,318 units (1.96 times).
+    """
     return F.length(F.regexp_replace(F.regexp_replace(text, r"[\p{L}\p{N}]{1,8}", "w"), r"\s+", "")).cast("long")
 
 
