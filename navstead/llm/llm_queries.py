@@ -180,3 +180,72 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = repeated_spans(table(spark, sf_dir, "documents"), least_chars=100)
     return found.select("doc_id", "start", "end", "n_chunks", "first_doc_id", F.size("removable").alias("n_removable"))
+
+
+SPELLING_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+x AS (SELECT run, hex(encode(concat(doc_id, ':', run))) AS h FROM r WHERE length(run) >= 7),
+b AS (SELECT run, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM x),
+c AS (SELECT run, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, z: xor(c >> 8, t[1 + (xor(c, z) & 255)]))) AS h FROM b, tab),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM c),
+k AS MATERIALIZED (SELECT word, count(*) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM k),
+s AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM p a JOIN p b
+      ON substr(a.word, 1, a.i - 1) || chr(1) || substr(a.word, a.i + 1) = substr(b.word, 1, b.i - 1) || chr(1) || substr(b.word, b.i + 1) AND a.word <> b.word),
+d AS (SELECT DISTINCT p.word AS longer, p.n AS longer_n, k.word AS shorter, k.n AS shorter_n FROM p JOIN k ON substr(p.word, 1, p.i - 1) || substr(p.word, p.i + 1) = k.word),
+m AS (SELECT * FROM s UNION ALL SELECT longer, longer_n, shorter, shorter_n FROM d UNION ALL SELECT shorter, shorter_n, longer, longer_n FROM d),
+f AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM m GROUP BY word),
+o AS (SELECT k.word, k.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * k.n THEN form END AS form, CASE WHEN form_n >= 10 * k.n THEN form_n END AS form_n
+      FROM k LEFT JOIN f ON k.word = f.word),
+e AS (SELECT word, word AS root, form AS next FROM o UNION ALL SELECT e.word, e.next, o.form FROM e JOIN o ON o.word = e.next)
+SELECT o.word, o.n, o.n_near, o.form, o.form_n, e.root FROM o JOIN e ON o.word = e.word WHERE e.next IS NULL"""
+
+
+@query("op11_spelling_variants", oracle=SPELLING_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import letter_runs, spelling_variants, thinned, word_counts
+
+    runs = letter_runs(table(spark, sf_dir, "documents"), least_chars=7)  # an altered run is never longer
+    words = word_counts(thinned(runs, every=31), least_chars=7, least_count=2)
+    return spelling_variants(words, lead=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT doc_id, lang, source, translate(unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM w GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+l AS (SELECT lang, sum(n) AS total, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, CAST(count(*) AS HUGEINT) AS n FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS ln
+      FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT lang, source, sum(n) AS total FROM f GROUP BY ALL),
+p AS (SELECT f.lang, f.source, f.term, f.n, 1 + (1000000000 * (f.n + 2)) // (s.total + 2 * l.v) AS p, 1 + (1000000000 * (f.ln + 2)) // (l.total + 2 * l.v) AS q
+      FROM f JOIN s ON f.lang = s.lang AND f.source = s.source JOIN l ON f.lang = l.lang),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+       FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(pv.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 10"""
+
+
+@query("op12_source_divergence", oracle=DIVERGENCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"), min_docs=10, top=10, scale=1_000_000_000)
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokencounts import prefix_counts
+
+    counts = prefix_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
