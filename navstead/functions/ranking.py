@@ -3,32 +3,43 @@
 A window ordered inside a group would put a whole group into one task, and one peer group,
 one anchor or one feature may hold a large share of all rows.  Everything here therefore
 works on *cells*: equal values of a group are first counted together (partial aggregation),
-then each group is cut into value intervals by a fixed increasing function of the value.  A
-window runs inside a cell, a second window runs over the at most ``cells`` per-cell totals
-of a group, and an equi join adds the two.  The cut is a pure function of the value, so a
-recomputed task lands in the same cell.
+and a cell holds the values that agree in their leading binary digits.  Counts per cell are a
+mergeable summary of the group's quantiles, with a relative error below 2^-DIGITS whatever
+the magnitude or spread of the values, and they cut the group: a window runs inside a cell, a
+second one over the cells' totals, and an equi join adds the two, which makes the result exact.
+More rows meet more cells, and a group has at most 2^DIGITS of them per doubling of the value.
+The cut is a pure function of the value, so a recomputed task lands in the same cell.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-CELLS = 64
+DIGITS = 12
 _ALL = "_all"
+_LARGEST = 1.7976931348623157e308  # fixed value: the largest finite double
+_OCTAVES = 1100  # more than the doublings below one
 
 
-def cell_of(value: Column, cells: int, center: float, scale: float) -> Column:
-    squashed = F.lit(0.5) + F.atan((value - F.lit(center)) / F.lit(scale)) / F.lit(math.pi)
-    return F.floor(F.lit(cells) * squashed).cast("int")
+def cell_of(value: Column, digits: int = DIGITS) -> Column:
+    """Sign, exponent and the first ``digits`` binary digits of a number, as one increasing integer.
+
+    The exponent comes from a logarithm that may be off at a power of two; the digits then run to
+    -1 or 2^digits, which is the neighbouring cell all the same.
+    """
+    size = F.least(F.abs(value.cast("double")), F.lit(_LARGEST))
+    exponent = F.floor(F.log2(size))
+    digit = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * float(2**digits))
+    cell = (exponent + _OCTAVES) * 2**digits + digit + 1
+    return F.when(size > 0, F.when(value > 0, cell).otherwise(-cell)).otherwise(F.lit(0)).cast("bigint")
 
 
 def cumulative_counts(
-    rows: DataFrame, keys: Sequence[str], value: str, tallies: dict[str, Column] | None = None,
-    cells: int = CELLS, center: float = 0.0, scale: float = 0.5,
+    rows: DataFrame, keys: Sequence[str], value: str, tallies: dict[str, Column] | None = None, digits: int = DIGITS,
 ) -> DataFrame:
     """Per distinct value of each group: ``cnt``, ``below`` (rows with a smaller value) and
     ``n`` (rows in the group), and the same three for every extra tally ``t`` as ``t``,
@@ -40,7 +51,7 @@ def cumulative_counts(
     counted = (
         rows.where(F.col(value).isNotNull()).groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("cnt"), *[c.alias(name) for name, c in extra.items()])
-        .withColumn("_cell", cell_of(F.col(value), cells, center, scale))
+        .withColumn("_cell", cell_of(F.col(value), digits))
     )
     names = ["cnt", *extra]
     inside = Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -166,20 +177,46 @@ def spearman(rows: DataFrame, x: str, y: str, out: str = "spearman", **cut) -> D
     return ranked.agg(F.when(varied, F.corr("_rx", "_ry")).alias(out), F.count(F.lit(1)).alias("n"))
 
 
+def tie_cell_of(rows: DataFrame, tie: str, digits: int = DIGITS) -> Column:
+    """A non-decreasing cell of the ``tie`` key: its distance from the least one.
+
+    A text counts by the seven bytes after what all rows share.  The least and the greatest text of all
+    rows are one scalar subquery; what they share, all share.
+    """
+    if isinstance(rows.schema[tie].dataType, NumericType):
+        return cell_of(F.col(tie) - rows.agg(F.min(tie)).scalar(), digits)
+    octets = 7
+
+    def number(text: Column, shared: Column) -> Column:
+        rest = F.substring(F.encode(F.substring(text, shared + 1, F.lit(octets)), "utf-8"), 1, octets)
+        return F.conv(F.rpad(F.hex(rest), 2 * octets, "0"), 16, 10).cast("bigint")
+
+    text = F.col(tie).cast("string")
+    low, high = F.col("low"), F.col("high")
+    alike = F.filter(F.sequence(F.lit(0), F.length(low)), lambda i: (i > 0) & (F.substring(low, F.lit(1), i) == F.substring(high, F.lit(1), i)))
+    ends = rows.agg(F.min(text).alias("low"), F.max(text).alias("high")).withColumn("shared", F.size(alike))
+    start = ends.agg(F.any_value(F.struct("shared", number(low, F.col("shared")).alias("number")))).scalar()
+    return cell_of(F.coalesce(number(text, start["shared"]) - start["number"], F.lit(-1)), digits)
+
+
 def with_position(
-    rows: DataFrame, keys: Sequence[str], value: str, tie: str, out: str, size: str,
-    cells: int = CELLS, center: float = 0.0, scale: float = 0.5,
+    rows: DataFrame, keys: Sequence[str], value: str, tie: str, out: str, size: str, digits: int = DIGITS,
 ) -> DataFrame:
-    """Position 1..n by value descending, then ``tie`` ascending, and the group size."""
+    """Position 1..n by value descending, then ``tie`` ascending, and the group size.
+
+    Positions come from two levels of counts: rows above the value, from cells of the value, and rows
+    of the same value before the tie, from cells of the tie; a window sorts one cell of one value.  A
+    group in which all values are equal is therefore spread like any other.  Missing values come last.
+    """
     keys = list(keys)
-    celled = rows.withColumn("_cell", -cell_of(F.col(value), cells, center, scale))
-    inside = Window.partitionBy(*keys, "_cell").orderBy(F.col(value).desc(), F.col(tie))
-    group = Window.partitionBy(*keys)
-    offsets = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c")).select(
-        *keys, "_cell",
-        F.coalesce(F.sum("_c").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_before"),
-        F.sum("_c").over(group).alias(size),
-    )
-    placed = celled.withColumn("_in", F.row_number().over(inside)).join(offsets, [*keys, "_cell"])
-    return placed.withColumn(out, F.col("_in") + F.col("_before")).drop("_cell", "_in", "_before")
+    held = F.coalesce(F.col(value), F.lit(float("-inf"))).alias("_value")  # no number is below it
+    valued = rows.select("*", held, tie_cell_of(rows, tie, digits).alias("_tie_cell"))
+    levels = cumulative_counts(valued, keys, "_value", digits=digits)
+    above = levels.select(*keys, "_value", (F.col("n") - F.col("below") - F.col("cnt")).alias("_above"), F.col("n").alias(size))
+    before = Window.partitionBy(*keys, "_value").orderBy("_tie_cell").rowsBetween(Window.unboundedPreceding, -1)
+    ties = valued.groupBy(*keys, "_value", "_tie_cell").agg(F.count(F.lit(1)).alias("_c"))
+    ties = ties.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    offsets = ties.join(above, [*keys, "_value"]).select(*keys, "_value", "_tie_cell", (F.col("_above") + F.col("_before")).alias("_offset"), size)
+    inside = Window.partitionBy(*keys, "_value", "_tie_cell").orderBy(tie)
+    placed = valued.withColumn("_in", F.row_number().over(inside)).join(offsets, [*keys, "_value", "_tie_cell"])
+    return placed.withColumn(out, F.col("_in") + F.col("_offset")).drop("_value", "_tie_cell", "_in", "_offset")

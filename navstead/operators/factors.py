@@ -77,7 +77,7 @@ def stretch(raw: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def with_peer_rank(scored: DataFrame, keys: Sequence[str], value: str = "composite_score") -> DataFrame:
     """Rank by score descending; equal scores share the smaller rank."""
-    table = cumulative_counts(scored, keys, value, center=50.0, scale=20.0)
+    table = cumulative_counts(scored, keys, value)
     ranks = table.select(*keys, value, (F.col("n") - F.col("below") - F.col("cnt") + 1).cast("int").alias("peer_rank"))
     return scored.join(ranks, [*keys, value], "left")
 

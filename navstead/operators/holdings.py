@@ -132,7 +132,7 @@ def liquidity_profile(lines: DataFrame, aum: DataFrame) -> DataFrame:
     means = rows.groupBy(*BOOK).agg(
         safe_divide(F.sum(w * F.coalesce("market_cap_cr", F.lit(0.0))), F.sum(w)).alias("wavg_market_cap_cr"),
         safe_divide(F.sum(w * F.col("days")), F.sum(w)).alias("days_to_liquidate_wavg"))
-    tail = group_quantiles(rows, BOOK, "days", {"days_to_liquidate_p90": 0.9}, center=1.0, scale=2.0).drop("n")
+    tail = group_quantiles(rows, BOOK, "days", {"days_to_liquidate_p90": 0.9}).drop("n")
     return means.join(tail, BOOK, "left")
 
 

@@ -120,7 +120,7 @@ def realized_summary(realizations: DataFrame, predictions: DataFrame, superseded
     counts = rows.agg(
         F.count(F.lit(1)).alias("n_matured"), F.count_if(F.col("status") == "REALIZED").alias("n_realized"),
         F.count_if(F.col("status") == "DEAD_OR_GAP").alias("n_dead_or_gap"), F.count_if(F.col("status") == "THIN_AT_REALIZATION").alias("n_thin"))
-    ic = spearman(done, "probability", "y", "ic", center=0.5, scale=0.2).select("ic")
+    ic = spearman(done, "probability", "y", "ic").select("ic")
     first = predictions.join(model, "model_id", "left_semi").agg(F.add_months(F.min(F.col("anchor").cast("date")), 36).alias("earliest_maturity"))
     joined = counts.withColumn("_ic", ic.scalar()).withColumn("earliest_maturity", first.scalar()).withColumn("model_id", model.scalar())
     status = F.when(F.col("n_matured") == 0, "PENDING_MATURITY").when(F.col("n_realized") < K.MIN_MATURED_FOR_IC, "INSUFFICIENT_MATURED").otherwise("OK")
@@ -156,7 +156,7 @@ def rank_stability(current: DataFrame, previous: DataFrame) -> DataFrame:
     then = previous.select("fund_id", "target", F.coalesce("model_id", F.lit("")).alias("_m"), F.col("probability").alias("p0"), *[F.col(c) for c in ("logged_at", "row_hash") if c in previous.columns])
     last = F.struct(*[c for c in ("logged_at", "row_hash") if c in then.columns], "p0")
     then = then.groupBy(*keys).agg(F.max_by("p0", last).alias("p0"))  # one score per key, the last logged
-    got = spearman(now.join(then, keys), "p1", "p0", "_s", center=0.5, scale=0.2)
+    got = spearman(now.join(then, keys), "p1", "p0", "_s")
     seen = previous.agg(F.count(F.lit(1)).alias("_prev"), F.max("run_id").alias("prev_run_id"))
     both = got.withColumn("_p", seen.agg(F.any_value(F.struct("_prev", "prev_run_id"))).scalar())
     status = F.when(F.col("_p._prev") == 0, "FIRST_RUN").when(F.col("n") < K.MIN_COMMON_FOR_STABILITY, "INSUFFICIENT_OVERLAP").otherwise("OK")

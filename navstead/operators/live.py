@@ -107,7 +107,7 @@ def candidate_percentile(reference: DataFrame, candidates: DataFrame, keys: Sequ
     """Average-tie percentile of each candidate among the reference rows and itself alone."""
     cols = [*keys, value]
     pool = reference.select(*cols, F.lit(1).alias("_ref")).unionByName(candidates.select(*cols, F.lit(0).alias("_ref")))
-    table = cumulative_counts(pool, keys, value, {"ref": F.sum("_ref")}, center=0.2, scale=0.2)
+    table = cumulative_counts(pool, keys, value, {"ref": F.sum("_ref")})
     pct = F.when(F.col("total_ref") + 1 >= min_count, (F.col("below_ref") + (F.col("ref") + 2) / 2.0) / (F.col("total_ref") + 1))
     return candidates.join(table.select(*cols, pct.alias(out)), cols, "left")
 
@@ -131,7 +131,7 @@ def score_live(requests: DataFrame, manifest: DataFrame, nav: DataFrame, master:
         F.count(F.lit(1)).alias("_present"), F.count_if(has_year).alias("_scoreable"))
     sizes = scored.where("is_ref").groupBy("anchor").agg(F.count(F.lit(1)).alias("_universe"))
     pool = scored.where(F.col("is_ref") & has_year)
-    ranks = cumulative_counts(pool, ["gkey", "anchor"], "probability", center=0.3, scale=0.2).select(
+    ranks = cumulative_counts(pool, ["gkey", "anchor"], "probability").select(
         "gkey", "anchor", "probability", ((F.col("below") + (F.col("cnt") + 1) / 2.0) / F.col("n")).alias("_pct"))
     ref_rows = scored.where("is_ref").join(own, ["fund_id", "anchor"], "left_semi").join(ranks, ["gkey", "anchor", "probability"], "left")
     new_rows = candidate_percentile(pool, scored.where(~F.col("is_ref")), ["gkey", "anchor"], "probability", "_pct", 1)

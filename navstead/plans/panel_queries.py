@@ -323,7 +323,7 @@ def _(spark, sf):
     + (COUNT(*) OVER (PARTITION BY s_nationkey, s_acctbal) - 1)/2.0::DOUBLE)/COUNT(*) OVER (PARTITION BY s_nationkey)''', 12)} pct FROM supplier"""))
 def _(spark, sf):
     rows = X.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("fund"), F.col("s_nationkey").alias("grp"), F.col("s_acctbal").alias("x"))
-    return rounded(with_percentile_rank(rows, ["grp"], "x", "pct", center=4500.0, scale=3000.0), 12)
+    return rounded(with_percentile_rank(rows, ["grp"], "x", "pct"), 12)
 
 
 @query("tied_percentile_rank", sql(f"""
@@ -332,7 +332,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = X.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("grp"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("x"))
-    return rounded(with_percentile_rank(rows, ["grp"], "x", "pct", center=200.0, scale=100.0), 12)
+    return rounded(with_percentile_rank(rows, ["grp"], "x", "pct"), 12)
 
 
 @query("group_quantiles", sql(f"""
@@ -340,7 +340,7 @@ def _(spark, sf):
   FROM orders GROUP BY 1"""))
 def _(spark, sf):
     rows = X.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_totalprice").alias("x"))
-    return rounded(group_quantiles(rows, ["grp"], "x", {"q25": 0.25, "med": 0.5, "q90": 0.9}, center=200000.0, scale=100000.0))
+    return rounded(group_quantiles(rows, ["grp"], "x", {"q25": 0.25, "med": 0.5, "q90": 0.9}))
 
 
 @query("leave_one_out_median", sql(f"""
@@ -348,5 +348,5 @@ def _(spark, sf):
   FROM supplier a LEFT JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1, 2"""))
 def _(spark, sf):
     rows = X.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("grp"), F.col("s_acctbal").alias("x"))
-    med = loo_median(rows, ["grp"], "x", "others", center=4500.0, scale=3000.0)
+    med = loo_median(rows, ["grp"], "x", "others")
     return rounded(rows.join(med, ["grp", "x"]).drop("x"))
