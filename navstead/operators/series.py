@@ -95,12 +95,36 @@ def business_calendar(
     )
 
 
+def joined_falls(pieces: DataFrame) -> DataFrame:
+    """Disjoint sparse table of falls: (fund_id, level, piece, side) with high, low and fall of a run of pieces.
+
+    At level k pieces lie in blocks of 2^(k+1) with a middle.  ``left`` runs from a piece to the middle
+    of its block, ``right`` from the middle to a piece, so any span of pieces is one run of each kind
+    side by side, at the level of the highest binary digit in which its ends differ.  Falls do not
+    overlap well (a peak must come first), which is why the two runs must be disjoint.
+    """
+    counted = pieces.withColumn("_last", F.max("piece").over(Window.partitionBy("fund_id")))
+    top = F.floor(F.log2(F.col("_last").cast("double") + 0.5)).cast("int")
+    levels = counted.withColumn("level", F.explode(F.sequence(F.lit(0), top))).drop("_last")
+    block = F.floor(F.col("piece") / F.pow(F.lit(2.0), F.col("level") + 1)).cast("bigint")
+    half = F.floor(F.col("piece") / F.pow(F.lit(2.0), "level")).cast("bigint") % 2
+    placed = levels.withColumn("block", block).withColumn("side", F.when(half == 0, "left").otherwise("right"))
+    outward = Window.partitionBy("fund_id", "level", "block", "side").orderBy(F.when(half == 0, -F.col("piece")).otherwise(F.col("piece")))
+    so_far, before = outward.rowsBetween(Window.unboundedPreceding, 0), outward.rowsBetween(Window.unboundedPreceding, -1)
+    # a run grows away from the middle: to the left the new piece's high meets the run's low, to the right the other way round
+    meets = F.when(F.col("side") == "left", F.min("low").over(before) / F.col("high")).otherwise(F.col("low") / F.max("high").over(before)) - 1
+    grown = placed.withColumn("_step", F.least("fall", meets))
+    return grown.select("fund_id", "level", "piece", "side", F.max("high").over(so_far).alias("high"), F.min("low").over(so_far).alias("low"),
+                        F.min("_step").over(so_far).alias("fall"))
+
+
 def window_drawdown(nav: DataFrame, pairs: DataFrame, months: int) -> DataFrame:
     """Deepest fall from a running peak over [as-of(anchor − months), anchor] per pair.
 
-    Anchors and window starts cut each series into segments.  A segment is reduced to (high,
-    low, deepest fall); two neighbours combine as min(fallA, fallB, lowB / highA − 1).  Rows are
-    therefore read once, not once for every overlapping window.
+    Anchors and window starts cut each series into pieces.  A piece is reduced to (high, low, deepest
+    fall); two neighbours combine as min(fallA, fallB, lowB / highA − 1).  Prices are read once, pieces
+    are combined once per level, and each pair reads two ready runs by equi join, however many pieces
+    its window spans.
     """
     stops = F.explode(F.array(
         F.struct(F.lit("start").alias("edge"), F.add_months("anchor", -months).alias("_t")),
@@ -109,38 +133,38 @@ def window_drawdown(nav: DataFrame, pairs: DataFrame, months: int) -> DataFrame:
     edges = pairs.select("fund_id", "anchor", stops).select(
         "fund_id", "anchor", "_s.edge", "_s._t", F.lit(1).alias("_kind"))
     facts = nav.select("fund_id", F.col("dt").alias("_t"), F.lit(0).alias("_kind"), "nav", "dt")
-    running = Window.partitionBy("fund_id").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = Window.partitionBy("fund_id").orderBy("_t", "_kind")
+    running = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    opens = (F.col("_kind") == 0) & F.coalesce(F.lag("_kind").over(ordered) == 1, F.lit(True))
     cut = (
         facts.unionByName(edges, allowMissingColumns=True)
-        .withColumn("seg", F.sum("_kind").over(running))
+        .withColumn("_opens", opens.cast("int"))
+        .withColumn("piece", F.sum("_opens").over(running))  # from 1; at an edge, the last piece before it
         .withColumn("at", F.last(F.when(F.col("_kind") == 0, F.struct("dt", "nav")), ignorenulls=True).over(running))
     )
-    inside = Window.partitionBy("fund_id", "seg").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("fund_id", "piece").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
     pieces = (
         cut.where(F.col("_kind") == 0)
         .withColumn("fall", F.col("nav") / F.max("nav").over(inside) - 1)
-        .groupBy("fund_id", "seg")
+        .groupBy("fund_id", "piece")
         .agg(F.max("nav").alias("high"), F.min("nav").alias("low"), F.min("fall").alias("fall"))
-        .groupBy("fund_id")
-        .agg(F.sort_array(F.collect_list(F.struct("seg", "high", "low", "fall"))).alias("pieces"))
     )
     spans = cut.where(F.col("_kind") == 1).groupBy("fund_id", "anchor").agg(
-        F.max(F.when(F.col("edge") == "start", F.col("seg"))).alias("seg_from"),
-        F.max(F.when(F.col("edge") == "end", F.col("seg"))).alias("seg_to"),
+        (F.max(F.when(F.col("edge") == "start", F.col("piece"))) + 1).alias("first"),
+        F.max(F.when(F.col("edge") == "end", F.col("piece"))).alias("last"),
         F.any_value(F.when(F.col("edge") == "start", F.col("at")), ignoreNulls=True).alias("start"),
         F.any_value(F.when(F.col("edge") == "end", F.col("at")), ignoreNulls=True).alias("end"),
     )
     covered = F.datediff(F.add_months("anchor", -months), F.col("start.dt")) <= ASOF_TOLERANCE_DAYS
-    folded = F.aggregate(
-        F.filter("pieces", lambda p: (p.seg >= F.col("seg_from")) & (p.seg < F.col("seg_to"))),
-        F.struct(F.col("start.nav").alias("peak"), F.lit(0.0).alias("fall")),
-        lambda acc, p: F.struct(
-            F.greatest(acc.peak, p.high).alias("peak"),
-            F.least(acc.fall, p.fall, p.low / acc.peak - 1).alias("fall"),
-        ),
-    )
-    return (
-        spans.where(covered).join(pieces, "fund_id").withColumn("_d", folded)
-        .select("fund_id", "anchor", F.col("_d.fall").alias("max_dd"),
-                (F.col("end.nav") / F.col("_d.peak") - 1).alias("current_dd"))
-    )
+    apart = F.floor(F.log2(F.col("first").bitwiseXOR(F.col("last")).cast("double") + 0.5)).cast("int")
+    asked = spans.where(covered).withColumn("level", F.when(F.col("first") < F.col("last"), apart).when(F.col("first") == F.col("last"), 0))
+    table = joined_falls(pieces)
+    run = F.struct("high", "low", "fall")
+    ends = table.groupBy("fund_id", "level", "piece").agg(F.any_value(run).alias("run"))  # a piece has one side in a level
+    left = ends.select("fund_id", "level", F.col("piece").alias("first"), F.col("run").alias("a"))
+    right = ends.select("fund_id", "level", F.col("piece").alias("last"), F.col("run").alias("b"))
+    read = asked.join(left, ["fund_id", "level", "first"], "left").join(right, ["fund_id", "level", "last"], "left")
+    opening, two = F.col("start.nav"), F.col("first") < F.col("last")
+    peak = F.greatest(opening, "a.high", F.when(two, F.col("b.high")))
+    fall = F.least(F.lit(0.0), "a.fall", F.col("a.low") / opening - 1, F.when(two, F.least(F.col("b.fall"), F.col("b.low") / F.greatest(opening, "a.high") - 1)))
+    return read.select("fund_id", "anchor", fall.alias("max_dd"), (F.col("end.nav") / peak - 1).alias("current_dd"))

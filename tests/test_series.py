@@ -39,6 +39,30 @@ def test_window_drawdown_matches_brute_force(spark):
         assert abs(got[a.date()][0] - dd.min()) < 1e-12 and abs(got[a.date()][1] - dd.iloc[-1]) < 1e-12
 
 
+def test_window_drawdown_of_many_pieces_and_gaps(spark):
+    """Funds with few prices, windows with none, equal edges; every pair against a walk over its prices."""
+    rng = np.random.default_rng(8)
+    rows, asked, want = [], [], {}
+    for fund in range(12):
+        days = pd.date_range("2018-01-01", periods=500, freq="D")
+        days = days[rng.random(500) < (0.9, 0.5, 0.08, 0.02)[fund % 4]]
+        levels = pd.Series(100 * np.exp(np.cumsum(rng.normal(0, 0.03, len(days)))), index=days)
+        rows += [(str(fund), d.date(), float(v)) for d, v in levels.items()]
+        for a in pd.date_range("2018-03-01", periods=int(rng.integers(1, 90)), freq="5D"):
+            asked.append((str(fund), a.date()))
+            since = a - pd.DateOffset(months=2)
+            before = levels.index[levels.index <= since]
+            if len(before) and (since - before[-1]).days <= 10:
+                win = levels.loc[before[-1]:a]
+                dd = win / win.cummax() - 1
+                want[(str(fund), a.date())] = (dd.min(), dd.iloc[-1])
+    nav = spark.createDataFrame(rows, "fund_id string, dt date, nav double")
+    pairs = spark.createDataFrame(asked, "fund_id string, anchor date")
+    got = {(r.fund_id, r.anchor): (r.max_dd, r.current_dd) for r in series.window_drawdown(nav, pairs, 2).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k][i] - want[k][i]) < 1e-12 for k in want for i in (0, 1))
+
+
 def test_business_calendar_carries_five_rows_only(spark):
     nav = frame(spark, [1, None, None, None, None, None, None, None, None, None, None, 2], start=dt.date(2020, 1, 6)).where("nav is not null")
     got = {r.dt: r.nav for r in series.business_calendar(nav).collect()}
