@@ -6,6 +6,8 @@ the coefficients, and the calibration blocks.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import json
 import math
 from collections.abc import Iterable, Sequence
@@ -15,7 +17,6 @@ from typing import NamedTuple
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from ..functions.ranking import group_quantiles
 from ..session import cut_lineage
 from . import cv, evaluation
 from .inference import interpolate, sigmoid
+from .isotonic import isotonic_blocks
 
 
 # --- preprocessing ---------------------------------------------------------------------
@@ -142,40 +144,39 @@ def merge_thin_blocks(blocks: Iterable[tuple[float, int, int]], least: int = K.C
     """(upper score, rate, rows) of blocks with at least ``least`` rows each.
 
     While the thinnest block has fewer, it goes to whichever neighbour has fewer rows, the lower one if
-    both have as many.  The table has tens of blocks.
+    both have as many.  Blocks are the knots of the stored model; a heap keeps the thinnest at hand.
     """
-    table = [Block(*b) for b in blocks]
-    while len(table) > 1 and min(b.rows for b in table) < least:
-        thin = min(range(len(table)), key=lambda i: table[i].rows)
-        mates = [i for i in (thin - 1, thin + 1) if 0 <= i < len(table)]
-        low, high = sorted((thin, min(mates, key=lambda i: table[i].rows)))
-        table = [*table[:low], table[low].joined(table[high]), *table[high + 1:]]
+    table: list[Block | None] = [Block(*b) for b in blocks]
+    below, above = list(range(-1, len(table) - 1)), list(range(1, len(table) + 1))
+    thinnest, left = [(b.rows, i) for i, b in enumerate(table)], len(table)
+    heapq.heapify(thinnest)
+    while left > 1 and thinnest[0][0] < least:
+        rows, i = heapq.heappop(thinnest)
+        if table[i] is None or table[i].rows != rows:
+            continue  # merged meanwhile
+        mate = min((j for j in (below[i], above[i]) if 0 <= j < len(table)), key=lambda j: table[j].rows)
+        low, high = min(i, mate), max(i, mate)
+        table[low], table[high], above[low], left = table[low].joined(table[high]), None, above[high], left - 1
+        if above[high] < len(table):
+            below[above[high]] = low
+        heapq.heappush(thinnest, (table[low].rows, low))
+    table = [b for b in table if b is not None]
     rate = [b.positives / b.rows for b in table]
     if len(table) > 1:
         if not table[0].positives:
             rate[0] = end_rate(table[0].rows, rate[1])
         if table[-1].positives == table[-1].rows:  # the same of what did not happen
             rate[-1] = 1.0 - end_rate(table[-1].rows, 1.0 - rate[-2])
-    highest = [max(b.upper for b in table[:i]) if i else float("-inf") for i in range(len(table))]
-    return [(b.upper, r, b.rows) for b, r, before in zip(table, rate, highest, strict=True) if b.upper > before]
-
-
-def isotonic_blocks(scored: DataFrame, p: str, label: str) -> DataFrame:
-    """Pool-adjacent-violators blocks: fitted value, largest p, rows, positives."""
-    pairs = scored.groupBy(F.col(p).alias("p")).agg(F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"),
-                                                    F.count_if(label).alias("_pos"))
-    pairs = cut_lineage(pairs)
-    fitted = IsotonicRegression(featuresCol="p", labelCol="_y", weightCol="_w").fit(pairs).transform(pairs)
-    return fitted.groupBy(F.round("prediction", 12).alias("fitted")).agg(
-        F.max("p").alias("x"), F.sum("_w").cast("bigint").alias("n"), F.sum("_pos").alias("positives"))
+    highest = itertools.accumulate((b.upper for b in table), max, initial=float("-inf"))
+    return [(b.upper, r, b.rows) for b, r, before in zip(table, rate, highest) if b.upper > before]
 
 
 def fit_calibration(scored: DataFrame, p: str, label: str) -> Calibration:
     """Isotonic with thin blocks merged when the slice is large enough, else logistic on log-odds."""
     n, pos = scored.agg(F.count(F.lit(1)), F.count_if(label)).first()
     if n >= K.ISOTONIC_MIN_ROWS and min(pos, n - pos) >= K.ISOTONIC_MIN_MINORITY:
-        rows = isotonic_blocks(scored, p, label).orderBy("fitted").select("x", "n", "positives").collect()
-        knots = merge_thin_blocks([(r["x"], r["n"], r["positives"]) for r in rows])
+        rows = isotonic_blocks(scored, p, label).orderBy("lower").collect()  # the model's own size
+        knots = merge_thin_blocks([(r["upper"], r["n"], r["positives"]) for r in rows])
         return Calibration("isotonic", [k[0] for k in knots], [k[1] for k in knots], [k[2] for k in knots])
     odds = VectorAssembler(inputCols=["_l"], outputCol="x").transform(
         scored.select(logit(p).alias("_l"), F.col(label).cast("double").alias("_y")))

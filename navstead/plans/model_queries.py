@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.ranking import auc
-from ..operators import cv, evaluation, factors, inference, labels, model
+from ..operators import cv, evaluation, factors, inference, isotonic, labels, model
 from ..session import stored
 from ..sources import scans
 from . import fixtures as X
@@ -139,7 +139,7 @@ def _(spark, sf):
     "FROM src", "FROM (SELECT l_linestatus, l_extendedprice, l_returnflag = 'R' r FROM lineitem)")))
 def _(spark, sf):
     rows = X.table(spark, sf, "lineitem").select("l_linestatus", "l_extendedprice", (F.col("l_returnflag") == "R").alias("r"))
-    return rounded(auc(rows, ["l_linestatus"], "l_extendedprice", "r", center=40000.0, scale=20000.0))
+    return rounded(auc(rows, ["l_linestatus"], "l_extendedprice", "r"))
 
 
 @query("anchor_rank_auc", sql(f"SELECT block, {r6('AVG(a)')} rank_auc, COUNT(a) rank_auc_cohorts FROM auc_anchor GROUP BY 1", "auc_anchor"))
@@ -288,11 +288,43 @@ def _(spark, sf):
     return rounded(fold.metrics)
 
 
-@query("calibration_knots")
+# The greatest convex minorant of the cumulative counts, point by point, then the thin blocks one by one.
+KNOTS_SQL = f"""
+  WITH RECURSIVE c AS (
+    SELECT ROW_NUMBER() OVER (ORDER BY p) i, p, SUM(n) OVER (ORDER BY p) n, SUM(y) OVER (ORDER BY p) y FROM (SELECT p, COUNT(*) n, COUNT(*) FILTER (y) y FROM scored GROUP BY p)),
+  g AS (
+    SELECT CAST(0 AS BIGINT) i, CAST(0 AS HUGEINT) n, CAST(0 AS HUGEINT) y
+    UNION ALL SELECT i, n, y FROM (
+      SELECT c.i, c.n, c.y, ROW_NUMBER() OVER (ORDER BY CAST(c.y - g.y AS DOUBLE)/CAST(c.n - g.n AS DOUBLE), c.i DESC) o FROM g JOIN c ON c.i > g.i) WHERE o = 1),
+  k AS (SELECT p u, CAST(g.n - LAG(g.n) OVER (ORDER BY g.i) AS BIGINT) n, CAST(g.y - LAG(g.y) OVER (ORDER BY g.i) AS BIGINT) y, g.i FROM g LEFT JOIN c ON c.i = g.i),
+  t AS (
+    SELECT list({{'u': u, 'n': n, 'y': y}} ORDER BY i) b FROM k WHERE i > 0
+    UNION ALL SELECT list_concat(list_concat(list_slice(b, 1, lo - 1), [{{'u': b[lo + 1].u, 'n': b[lo].n + b[lo + 1].n, 'y': b[lo].y + b[lo + 1].y}}]), list_slice(b, lo + 2, len(b))) FROM (
+      SELECT b, CASE WHEN i = 1 THEN 1 WHEN i = len(b) OR b[i - 1].n <= b[i + 1].n THEN i - 1 ELSE i END lo FROM (
+        SELECT b, list_position(ns, list_min(ns)) i FROM (SELECT b, list_transform(b, lambda z: z.n) ns FROM t) WHERE len(b) > 1 AND list_min(ns) < {K.CALIBRATION_MIN_BLOCK}))),
+  f AS (SELECT arg_min(b, len(b)) b FROM t),
+  r AS (SELECT i, b[i].u u, b[i].n n, b[i].y y, len(b) k, b[i].y/CAST(b[i].n AS DOUBLE) rate FROM (SELECT b, UNNEST(range(1, len(b) + 1)) i FROM f)),
+  low AS (SELECT *, CASE WHEN i = 1 AND k > 1 AND y = 0 THEN LEAST(0.5::DOUBLE, 3.0::DOUBLE/n, CASE WHEN LEAD(rate) OVER (ORDER BY i) > 0 THEN LEAD(rate) OVER (ORDER BY i)/2 ELSE 1 END) ELSE rate END a FROM r),
+  both_ends AS (SELECT *, CASE WHEN i = k AND k > 1 AND y = n THEN 1 - LEAST(0.5::DOUBLE, 3.0::DOUBLE/n, CASE WHEN LAG(a) OVER (ORDER BY i) < 1 THEN (1 - LAG(a) OVER (ORDER BY i))/2 ELSE 1 END) ELSE a END e FROM low)
+  SELECT 'isotonic' kind, {r6('u')} x, {r6('e')} y, n support FROM both_ends"""
+
+
+@query("calibration_knots", sql(KNOTS_SQL, "scored"))
 def _(spark, sf):
     got = model.fit_calibration(scored(spark, sf).select("p", "y"), "p", "y")
     rows = list(zip(got.x, got.y, got.support)) or [(got.coef, got.intercept, 0)]
-    return spark.createDataFrame([(got.kind, float(a), float(b), int(n)) for a, b, n in rows], "kind string, x double, y double, support bigint")
+    return rounded(spark.createDataFrame([(got.kind, float(a), float(b), int(n)) for a, b, n in rows], "kind string, x double, y double, support bigint"))
+
+
+# Fitted value of a score: the largest over starts of the smallest over ends of the mean outcome between them.
+@query("isotonic_blocks_by_discount", sql("""
+  WITH c AS (SELECT l_discount p, COUNT(*) n, COUNT(*) FILTER (l_returnflag = 'R') y FROM lineitem GROUP BY 1),
+  m AS (SELECT x.p v, a.p, b.p q, SUM(z.y)/CAST(SUM(z.n) AS DOUBLE) r FROM c x JOIN c a ON a.p <= x.p JOIN c b ON b.p >= x.p JOIN c z ON z.p BETWEEN a.p AND b.p GROUP BY 1, 2, 3),
+  f AS (SELECT v, MAX(lowest) fit FROM (SELECT v, p, MIN(r) lowest FROM m GROUP BY 1, 2) GROUP BY 1)
+  SELECT """ + f"{r6('MIN(v)')} lower, {r6('MAX(v)')} upper, CAST(SUM(n) AS BIGINT) n, CAST(SUM(y) AS BIGINT) positives FROM f JOIN c ON c.p = f.v GROUP BY fit"))
+def _(spark, sf):
+    rows = X.table(spark, sf, "lineitem").select("l_discount", (F.col("l_returnflag") == "R").alias("y"))
+    return rounded(isotonic.isotonic_blocks(rows, "l_discount", "y"))
 
 
 @query("coefficient_ranking")
@@ -346,5 +378,5 @@ define("fauc", auc_sql("fscore", "block"), "fscore")
     {r6('COUNT(*) FILTER (pos <= k AND y)/CAST(COUNT(*) FILTER (pos <= k) AS DOUBLE)')} top_decile_precision FROM k JOIN fauc USING (block) GROUP BY 1""", "fscore", "fauc"))
 def _(spark, sf):
     rows = factor_scores(spark, sf).withColumn("p", F.col("factor_score")).withColumn("block", cv.block_of(F.col("anchor"), BLOCKS))
-    met = evaluation.block_metrics(rows, ["block"], "p", None, center=50.0, scale=20.0)
+    met = evaluation.block_metrics(rows, ["block"], "p", None)
     return rounded(met.select("block", "n", "base_rate", "negatives", "pooled_auc", "top_decile_precision"))

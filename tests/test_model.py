@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from navstead import constants as K
-from navstead.operators import cv, evaluation, inference, model
+from navstead.operators import cv, evaluation, inference, isotonic, model
 from navstead.sources import scans
 
 
@@ -51,6 +51,56 @@ def test_merge_thin_blocks():
     assert ys == sorted(ys)
 
 
+def thin_by_scan(blocks, least):
+    """The rule as it is said: scan for the thinnest, join it to the thinner neighbour, again."""
+    rows = [list(b) for b in blocks]
+    while len(rows) > 1 and min(r[1] for r in rows) < least:
+        i = min(range(len(rows)), key=lambda i: rows[i][1])
+        j = min((j for j in (i - 1, i + 1) if 0 <= j < len(rows)), key=lambda j: rows[j][1])
+        a, b = min(i, j), max(i, j)
+        rows[a:b + 1] = [[rows[b][0], rows[a][1] + rows[b][1], rows[a][2] + rows[b][2]]]
+    return [(r[0], r[1]) for r in rows]
+
+
+def test_thin_blocks_merge_as_the_rule_says():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        sizes = rng.integers(1, 60, int(rng.integers(1, 40)))
+        blocks = [(float(i), int(n), int(n) // 2) for i, n in enumerate(sizes)]
+        assert [(m[0], m[2]) for m in model.merge_thin_blocks(blocks)] == thin_by_scan(blocks, K.CALIBRATION_MIN_BLOCK)
+
+
+def pav(values):
+    """Plain pool-adjacent-violators over (score, outcome) pairs."""
+    blocks = []
+    for p in sorted({p for p, _ in values}):
+        own = [y for q, y in values if q == p]
+        blocks.append([p, p, len(own), sum(own)])
+        while len(blocks) > 1 and blocks[-2][3] * blocks[-1][2] >= blocks[-1][3] * blocks[-2][2]:
+            b = blocks.pop()
+            blocks[-1] = [blocks[-1][0], b[1], blocks[-1][2] + b[2], blocks[-1][3] + b[3]]
+    return [tuple(b) for b in blocks]
+
+
+@pytest.mark.parametrize("kind", ["noisy", "falling", "one score", "no rows", "hot score"])
+def test_isotonic_blocks_do_not_depend_on_the_partitions(spark, kind):
+    rng = np.random.default_rng(6)
+    p = {"one score": np.full(500, 0.5), "no rows": np.array([])}.get(kind, np.round(rng.random(900), 3))
+    if kind == "hot score":
+        p[:600] = 0.4
+    y = rng.random(len(p)) < (1 - p if kind == "falling" else p)
+    rows = [(float(a), bool(b)) for a, b in zip(p, y)] + [(None, True), (0.5, None)]
+    df = spark.createDataFrame(rows, "p double, y boolean").repartition(5)
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("1", "8", "211"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append([tuple(r) for r in isotonic.isotonic_blocks(df, "p", "y").orderBy("lower").collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] == got[2] == pav([(float(a), int(b)) for a, b in zip(p, y)])
+
+
 def test_calibration_falls_back_when_thin(spark):
     df = spark.createDataFrame([(i / 100.0, i % 3 == 0) for i in range(1, 60)], "p double, y boolean")
     cal = model.fit_calibration(df, "p", "y")
