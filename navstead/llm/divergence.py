@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -34,40 +35,56 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")  # bytes of UTF-8
-HELD = 600_000  # (group, chunk) counts that a task holds before it passes them on
-COUNTS = "lang string, source string, chunk binary, n long, many boolean, ids array<long>"
-TERM_COUNTS = "lang string, source string, term string, n long, many boolean, ids array<long>"
-ARROW = pa.schema([("lang", pa.string()), ("source", pa.string()), ("chunk", pa.binary()), ("n", pa.int64()), ("many", pa.bool_()), ("ids", pa.list_(pa.int64()))])
+HELD = 800_000  # (group, chunk) counts that a task holds before it passes them on
+ROWS = 10_000
+HOLDERS = "sources array<string>, counts array<long>, many boolean, ids array<long>"
+LONGS = pa.list_(pa.int64())
+
+
+def listed(values: pa.Array, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def in_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for a in range(0, batch.num_rows, ROWS):
+        yield batch.slice(a, ROWS)
 
 
 def chunk_counts(docs: DataFrame, min_docs: int) -> DataFrame:
-    """Counts of chunks per group, summed within tasks; ids of documents per (language, chunk), or ``many``."""
+    """A row per (language, chunk) of a task: its sources with their counts, and ids of documents or ``many``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], Counter] = {}
+        counts: dict[str, dict[str, Counter]] = {}
         holders: dict[str, dict[bytes, list]] = {}
 
         def passed_on() -> Iterator[pa.RecordBatch]:
-            for (lang, source), chunks in counts.items():
-                ids = [holders[lang].pop(c, ()) for c in chunks]  # they go with the first group that has the chunk
-                many = [len(x) >= min_docs for x in ids]
-                n = len(chunks)
-                columns = [
-                    pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(chunks), pa.binary()), pa.array(list(chunks.values()), pa.int64()),
-                    pa.array(many, pa.bool_()), pa.array([() if m else x for m, x in zip(many, ids, strict=True)], pa.list_(pa.int64())),
-                ]
-                table = pa.RecordBatch.from_arrays(columns, schema=ARROW)
-                for a in range(0, n, 10_000):
-                    yield table.slice(a, 10_000)
+            for lang, ids in holders.items():
+                place = {c: i for i, c in enumerate(ids)}
+                sources = list(counts[lang])
+                at = np.concatenate([np.fromiter((place[c] for c in counts[lang][s]), np.int64) for s in sources])
+                n = np.concatenate([np.fromiter(counts[lang][s].values(), np.int64) for s in sources])
+                own = np.repeat(np.arange(len(sources)), [len(counts[lang][s]) for s in sources])
+                order = np.argsort(at, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(ids)))])
+                many = [len(x) >= min_docs for x in ids.values()]
+                yield from in_slices(pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(ids), pa.string()), pa.array(list(ids), pa.binary()),
+                        listed(pa.array(sources, pa.string()).take(pa.array(own[order])), ends), listed(pa.array(n[order], pa.int64()), ends),
+                        pa.array(many, pa.bool_()), pa.array([() if m else x for m, x in zip(many, ids.values(), strict=True)], LONGS),
+                    ],
+                    names=["lang", "chunk", "sources", "counts", "many", "ids"]))
             counts.clear()
             holders.clear()
 
         held = 0
         for batch in batches:
             for doc, text, lang, source in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3), strict=True):
-                group, doc = (lang.as_py(), source.as_py()), doc.as_py()
+                lang, doc = lang.as_py(), doc.as_py()
                 found = Counter(text.as_py().split())  # bytes split at ASCII white space alone
-                own, ids = counts.setdefault(group, Counter()), holders.setdefault(group[0], {})
+                if not found:
+                    continue
+                own, ids = counts.setdefault(lang, {}).setdefault(source.as_py(), Counter()), holders.setdefault(lang, {})
                 held -= len(own)
                 own.update(found)
                 held += len(own)
@@ -83,45 +100,54 @@ def chunk_counts(docs: DataFrame, min_docs: int) -> DataFrame:
         yield from passed_on()
 
     text, lang, source = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, lang, source).mapInArrow(run, COUNTS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, lang, source).mapInArrow(run, f"lang string, chunk binary, {HOLDERS}")
 
 
-def chunk_terms(counts: DataFrame) -> DataFrame:
-    """Counts of terms: equal chunks lie side by side, each is cut once, and its terms join its rows."""
+def chunk_terms(counts: DataFrame, min_docs: int) -> DataFrame:
+    """A row per (language, chunk, term): equal chunks lie side by side, are summed, and each is cut once for all its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, terms = None, []
         for batch in batches:
-            chunks = batch.column(2).dictionary_encode()
+            if not batch.num_rows:
+                continue
+            chunks, langs, names = batch.column(1).dictionary_encode(), batch.column(0).dictionary_encode(), batch.column(2).flatten().dictionary_encode()
             own = chunks.dictionary.to_pylist()
             cut = [terms if c == last else TERM.findall(c.lower()) for c in own]  # bytes.lower() changes A-Z alone
-            if own:
-                last, terms = own[-1], cut[-1]
-            rows = pa.array(cut, pa.list_(pa.binary())).take(chunks.indices)
+            last, terms = own[-1], cut[-1]
+            code, lang = (np.asarray(x.indices) for x in (chunks, langs))
+            first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (lang[1:] != lang[:-1])]))  # of each (chunk, language)
+            run_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(code))))
+            width = len(names.dictionary)
+            lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            pair, back = np.unique(np.repeat(run_of, lengths) * width + np.asarray(names.indices), return_inverse=True)
+            total = np.zeros(len(pair), np.int64)
+            np.add.at(total, back, batch.column(3).flatten().to_numpy())
+            ends = np.concatenate([[0], np.cumsum(np.bincount(pair // width, minlength=len(first)))])
+            many = np.logical_or.reduceat(batch.column(4).to_numpy(zero_copy_only=False), first)
+            id_ends = np.concatenate([[0], np.cumsum(batch.column(5).value_lengths().to_numpy(zero_copy_only=False))])[np.append(first, len(code))]
+            flat, ids = batch.column(5).flatten().to_pylist(), []
+            for i, (a, b) in enumerate(zip(id_ends[:-1], id_ends[1:], strict=True)):
+                some = set(flat[a:b]) if b - a > 1 and not many[i] else flat[a:b]
+                many[i] |= len(some) >= min_docs
+                ids.append(() if many[i] else some)
+            rows = pa.array(cut, pa.list_(pa.binary())).take(pa.array(code[first]))
             at = pc.list_parent_indices(rows)
-            columns = [batch.column(0).take(at), batch.column(1).take(at), rows.flatten().cast(pa.string()), *(batch.column(i).take(at) for i in (3, 4, 5))]
-            whole = pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "many", "ids"])
-            for a in range(0, whole.num_rows, 10_000):  # a chunk may have any number of terms
-                yield whole.slice(a, 10_000)
-
-    return counts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, TERM_COUNTS)
-
+            summed = (listed(names.dictionary.take(pa.array(pair % width)), ends), listed(pa.array(total), ends), pa.array(many, pa.bool_()), pa.array(ids, LONGS))
+            columns = [batch.column(0).take(pa.array(first)).take(at), rows.flatten().cast(pa.string()), *(x.take(at) for x in summed)]
+            yield from in_slices(pa.RecordBatch.from_arrays(columns, names=["lang", "term", "sources", "counts", "many", "ids"]))  # a chunk may have any number of terms
 
-def enough(min_docs: int) -> tuple[Column, Column]:
-    """(whether there are enough documents, the ids if not) of rows with ``many`` and ``ids``."""
-    ids = F.array_distinct(F.flatten(F.collect_list("ids")))
-    many = F.max("many") | (F.size(ids) >= min_docs)
-    return many.alias("many"), F.when(many, F.array().cast("array<long>")).otherwise(ids).alias("ids")
+    return counts.repartition("chunk").sortWithinPartitions("chunk", "lang").mapInArrow(run, f"lang string, term string, {HOLDERS}")
 
 
 def kept_counts(docs: DataFrame, min_docs: int) -> DataFrame:
     """(lang, source, term, n) of the terms that enough documents of the language hold."""
-    many, ids = enough(min_docs)
-    dealt = chunk_terms(chunk_counts(docs, min_docs)).repartition("lang", "term")
-    groups = dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), many, ids)
     term = Window.partitionBy("lang", "term")
-    held = F.size(F.array_distinct(F.flatten(F.collect_list("ids").over(term))))
-    return groups.withColumn("kept", F.max("many").over(term) | (held >= min_docs)).where("kept").select("lang", "source", "term", "n")
+    ids = F.array_distinct(F.flatten(F.collect_list("ids").over(term)))
+    dealt = chunk_terms(chunk_counts(docs, min_docs), min_docs).repartition("lang", "term")
+    kept = dealt.withColumn("kept", F.max("many").over(term) | (F.size(ids) >= min_docs)).where("kept")
+    each = kept.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("s"))
+    return each.groupBy("lang", "term", F.col("s.sources").alias("source")).agg(F.sum("s.counts").alias("n")).select("lang", "source", "term", "n")
 
 
 def share(n: Column, total: Column, terms: Column, scale: int) -> Column:
