@@ -123,6 +123,35 @@ def group_quantiles(
     )
 
 
+def group_quantile_with_one_more(rows: DataFrame, keys: Sequence[str], value: str, p: float, out: str, **cut) -> DataFrame:
+    """Per group: the count ``n``, the quantile ``out``, and ``out_more``, from which ``one_more`` reads the quantile with another value added."""
+    table = cumulative_counts(rows, keys, value, **cut)
+    n = F.col("n")
+
+    def at(position: Column) -> Column:
+        hit = (F.col("below") <= position) & (position < F.col("below") + F.col("cnt"))
+        return F.max(F.when(hit, F.col(value)))
+
+    own, more = (n - 1) * F.lit(p), n * F.lit(p)
+    picked = table.groupBy(*keys).agg(
+        F.max("n").alias("n"), at(F.floor(own)).alias("_lo"), at(F.ceil(own)).alias("_hi"),
+        *[at(spot(more) + shift).alias(f"_{name}{shift + 1}") for name, spot in (("lo", F.floor), ("hi", F.ceil)) for shift in (-1, 0)])
+    share = own - F.floor(own)
+    quantile = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share
+    around = F.struct(F.col("_lo0").alias("lo0"), F.col("_lo1").alias("lo1"), F.col("_hi0").alias("hi0"), F.col("_hi1").alias("hi1"), (more - F.floor(more)).alias("share"))
+    return picked.select(*keys, "n", quantile.alias(out), around.alias(f"{out}_more"))
+
+
+def one_more(around: Column, value: Column) -> Column:
+    """Quantile of a group and one value more: that value moves the later ones up by one, so each place holds it or a neighbour."""
+
+    def place(low: Column, high: Column) -> Column:
+        return F.greatest(low, F.least(value, high))  # a missing end is no bound
+
+    low, high = place(around["lo0"], around["lo1"]), place(around["hi0"], around["hi1"])
+    return F.when(value.isNotNull(), low + (high - low) * around["share"])
+
+
 def loo_median(
     rows: DataFrame, keys: Sequence[str], value: str, out: str, min_peers: int = 2, **cut
 ) -> DataFrame:

@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.ranking import group_quantiles, spearman
+from ..functions.ranking import group_quantile_with_one_more, one_more, spearman
+from . import cohorts
 from .peers import forward_returns
 
 KEY = list(K.LEDGER_KEY)
 
 
 def prediction_rows(scored: DataFrame, run_id: str, pipeline_sha: str, logged_at: Column | None = None) -> DataFrame:
-    """Ledger rows of OK scores only, with a hash over the fields that make the prediction."""
+    """Ledger rows of OK scores only, with a hash over the fields that make the prediction; the cohort by its id."""
     ok = scored.where(F.col("status") == "OK")
     sorted_features = F.map_from_entries(F.array_sort(F.map_entries("features")))
     body = F.struct(
@@ -25,7 +26,7 @@ def prediction_rows(scored: DataFrame, run_id: str, pipeline_sha: str, logged_at
     return ok.select(
         F.lit(1).alias("schema_version"), F.lit(run_id).alias("run_id"), stamp.alias("logged_at"), F.lit(pipeline_sha).alias("pipeline_sha"),
         "model_id", "target", "fund_id", F.col("anchor").cast("string").alias("anchor"), "probability", "cohort_percentile", "cohort_key",
-        "cohort_n", "universe_n", "cohort_codes", "signal_context", "imputed_features", "features",
+        "cohort_n", "universe_n", "cohort_id", "cohort_added", "signal_context", "imputed_features", "features",
         F.sha2(F.to_json(body, {"ignoreNullFields": "false"}), 256).alias("row_hash"))
 
 
@@ -55,12 +56,11 @@ def dedupe(rows: DataFrame, order: Sequence[str] = ("logged_at",), keys: Sequenc
     return kept.select(*rows.columns).unionByName(rows.where(~_complete(keys)))
 
 
-def append(batch: DataFrame, path: str, schema: str, order: Sequence[str] = ("logged_at",)) -> None:
-    """Append only what is new; also the body of a streaming ``foreachBatch``."""
-    from ..sources.scans import ledger
-    from ..sources.sinks import append_ledger
+def append(batch: DataFrame, path: str, schema: str | None = None, order: Sequence[str] = ("logged_at",)) -> None:
+    """Append only what is new to the store at ``path``; also the body of a streaming ``foreachBatch``."""
+    from .store import STORED, LedgerStore
 
-    append_ledger(new_predictions(batch, ledger(batch.sparkSession, path, schema), order), path)
+    LedgerStore(batch.sparkSession, path, schema or STORED).append(batch, order=order)
 
 
 def stats(rows: DataFrame) -> DataFrame:
@@ -81,23 +81,32 @@ def matured(rows: DataFrame, today: Column, months: int = 12 * K.FORWARD_YEARS)
     return rows.withColumn("is_matured", F.add_months(F.col("anchor").cast("date"), months) <= today)
 
 
-def realize(due: DataFrame, nav: DataFrame) -> DataFrame:
+def realize(due: DataFrame, nav: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Grade matured predictions against the cohort frozen with each of them.
 
-    Members of one cohort froze the same list, so each distinct (anchor, list) is expanded once
-    and graded once, not once per member.
+    Rows carry ``cohort_codes``, or ``cohort_id`` with ``members`` (cohort_id, fund_id) beside them and
+    perhaps ``cohort_added``, a scored fund that joins the members for its own row.  Members of one cohort
+    froze the same list, so each distinct (anchor, cohort) is graded once, not once per member, and an
+    added fund needs four order statistics of it.
     """
-    rows = due.withColumn("_a", F.col("anchor").cast("date")).withColumn("_cohort", F.sha2(F.array_join("cohort_codes", ","), 256))
-    cohorts = rows.groupBy("_a", "_cohort").agg(F.any_value("cohort_codes").alias("codes"))
-    members = cohorts.select("_a", "_cohort", F.explode("codes").alias("fund_id"))
-    asked = members.select("fund_id", F.col("_a").alias("anchor")).unionByName(rows.select("fund_id", F.col("_a").alias("anchor"))).distinct()
+    rows = due.withColumn("_a", F.col("anchor").cast("date"))
+    if members is None:
+        rows = rows.withColumn("cohort_id", cohorts.id_of_codes("cohort_codes"))
+        lists = rows.groupBy("_a", "cohort_id").agg(F.any_value("cohort_codes").alias("codes"))
+        known = lists.select("_a", "cohort_id", F.explode("codes").alias("fund_id"))
+    else:
+        known = rows.select("_a", "cohort_id").distinct().join(members.select("cohort_id", "fund_id").distinct(), "cohort_id").select("_a", "cohort_id", "fund_id")
+    added = F.col("cohort_added").isNotNull() if "cohort_added" in due.columns else F.lit(False)
+    asked = known.select("fund_id", F.col("_a").alias("anchor")).unionByName(rows.select("fund_id", F.col("_a").alias("anchor"))).distinct()
     fwd = forward_returns(nav, asked, "fund_id", "nav").select("fund_id", F.col("anchor").alias("_a"), "r_fwd")
-    peer = group_quantiles(members.join(fwd, ["fund_id", "_a"]), ["_a", "_cohort"], "r_fwd", {"q75": 0.75})
-    graded = rows.join(fwd, ["fund_id", "_a"], "left").join(peer, ["_a", "_cohort"], "left")
-    n = F.coalesce("n", F.lit(0))
+    peer = group_quantile_with_one_more(known.join(fwd, ["fund_id", "_a"]), ["_a", "cohort_id"], "r_fwd", 0.75, "q75")
+    graded = rows.join(fwd, ["fund_id", "_a"], "left").join(peer, ["_a", "cohort_id"], "left")
+    joins = added & F.col("r_fwd").isNotNull()
+    n = F.coalesce("n", F.lit(0)) + joins.cast("int")
+    bar = F.when(joins, F.coalesce(one_more(F.col("q75_more"), F.col("r_fwd")), F.col("r_fwd"))).otherwise(F.col("q75"))
     status = F.when(F.col("r_fwd").isNull(), "DEAD_OR_GAP").when(n < K.COHORT_MIN_SIZE, "THIN_AT_REALIZATION").otherwise("REALIZED")
     return graded.select(
-        "fund_id", "target", "anchor", "model_id", status.alias("status"), F.when(status == "REALIZED", F.col("r_fwd") >= F.col("q75")).alias("y_realized"),
+        "fund_id", "target", "anchor", "model_id", status.alias("status"), F.when(status == "REALIZED", F.col("r_fwd") >= bar).alias("y_realized"),
         F.col("r_fwd").alias("own_r_fwd"), n.cast("int").alias("n_peer_r_fwd"), "probability", "cohort_percentile")
 
 

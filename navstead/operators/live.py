@@ -8,6 +8,7 @@ reference rows, and the candidate is placed among them.  All candidates go throu
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +16,18 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.ranking import cumulative_counts
 from ..session import cut_lineage
+from . import cohorts, inference, peers, universe
 from . import features as feats
-from . import inference, peers, universe
 from .series import asof, with_returns, window_drawdown
 
 
+class LiveScores(NamedTuple):
+    """Scores with ``cohort_id`` and ``cohort_added``, and the members (cohort_id, fund_id)."""
+
+    rows: DataFrame
+    members: DataFrame
+
+
 def live_anchors(nav: DataFrame, today: Column) -> DataFrame:
     """(fund_id, anchor, staleness_days): the earlier of the last price date and today."""
     last = nav.groupBy("fund_id").agg(F.max("dt").alias("_last"))
@@ -113,8 +121,12 @@ def candidate_percentile(reference: DataFrame, candidates: DataFrame, keys: Sequ
 
 
 def score_live(requests: DataFrame, manifest: DataFrame, nav: DataFrame, master: DataFrame, overrides: DataFrame, model: DataFrame,
-               features: Sequence[str], today: Column, days: int = K.TRADING_DAYS, target: str = "cohort_q1") -> DataFrame:
-    """One row per requested fund: status, and for OK the probability and cohort percentile."""
+               features: Sequence[str], today: Column, days: int = K.TRADING_DAYS, target: str = "cohort_q1") -> LiveScores:
+    """One row per requested fund: status, and for OK the probability and cohort percentile.
+
+    The cohort is named by its id, whose members stand once in the second table; a candidate is not
+    among them and is named beside it, so the result grows with the rows, not with the cohorts' squares.
+    """
     state = cut_lineage(requests_state(requests, manifest, nav, master, overrides, today))
     open_rows = state.where(F.col("early_status").isNull())
     pairs = cut_lineage(reference_pairs(manifest, nav, open_rows))
@@ -127,7 +139,7 @@ def score_live(requests: DataFrame, manifest: DataFrame, nav: DataFrame, master:
     own = open_rows.where("is_ref").select("fund_id", "anchor")
 
     has_year = F.coalesce(F.col("has_1y") == 1.0, F.lit(False))
-    cohorts = scored.where("is_ref").groupBy("gkey", "anchor").agg(
+    sizes_of = scored.where("is_ref").groupBy("gkey", "anchor").agg(
         F.count(F.lit(1)).alias("_present"), F.count_if(has_year).alias("_scoreable"))
     sizes = scored.where("is_ref").groupBy("anchor").agg(F.count(F.lit(1)).alias("_universe"))
     pool = scored.where(F.col("is_ref") & has_year)
@@ -135,7 +147,7 @@ def score_live(requests: DataFrame, manifest: DataFrame, nav: DataFrame, master:
         "gkey", "anchor", "probability", ((F.col("below") + (F.col("cnt") + 1) / 2.0) / F.col("n")).alias("_pct"))
     ref_rows = scored.where("is_ref").join(own, ["fund_id", "anchor"], "left_semi").join(ranks, ["gkey", "anchor", "probability"], "left")
     new_rows = candidate_percentile(pool, scored.where(~F.col("is_ref")), ["gkey", "anchor"], "probability", "_pct", 1)
-    wide = ref_rows.unionByName(new_rows).join(cohorts, ["gkey", "anchor"], "left").join(sizes, "anchor", "left")
+    wide = ref_rows.unionByName(new_rows).join(sizes_of, ["gkey", "anchor"], "left").join(sizes, "anchor", "left")
 
     extra = (~F.col("is_ref")).cast("int")
     present = F.coalesce("_present", F.lit(0)) + extra
@@ -151,17 +163,19 @@ def score_live(requests: DataFrame, manifest: DataFrame, nav: DataFrame, master:
     status = F.coalesce("early_status", "late_status", F.lit("STALE_NAV"))
     ok = status == "OK"
     measured = status.isin(*K.IMPUTATION_MEASURED)
-    codes = pool.groupBy("gkey", "anchor").agg(F.array_sort(F.collect_list("fund_id")).alias("cohort_codes"))
-    final = out.join(codes, ["gkey", "anchor"], "left")
-    return final.select(
+    members = pool.select("gkey", "anchor", "fund_id")
+    ids = cohorts.cohort_ids(members, ["gkey", "anchor"])
+    final = out.join(ids, ["gkey", "anchor"], "left")
+    rows = final.select(
         "fund_id", status.alias("status"), F.lit(target).alias("target"), "anchor", "staleness_days",
         F.when(late_seen(status), F.col("gkey")).when(status.isin("OUT_OF_TRAINING_UNIVERSE", "SECTOR_UNRESOLVED"), F.col("category")).alias("cohort_key"), F.when(late_seen(status), F.col("cohort_n")).otherwise(0).cast("int").alias("cohort_n"),
         F.when(late_seen(status), F.col("universe_n")).otherwise(0).cast("int").alias("universe_n"),
         F.when(ok, F.col("probability")).alias("probability"), F.when(ok, F.col("_pct")).alias("cohort_percentile"),
         F.when(measured, F.col("imputed")).alias("imputed_features"), F.when(measured, F.lit(len(features))).alias("n_features"),
-        F.when(ok & F.col("is_ref"), F.col("cohort_codes")).when(ok, F.array_sort(F.array_append("cohort_codes", F.col("fund_id")))).alias("cohort_codes"),
+        F.when(ok, F.col("cohort_id")).alias("cohort_id"), F.when(ok & ~F.col("is_ref"), F.col("fund_id")).alias("cohort_added"),
         F.when(ok, F.col("feature_values")).alias("features"), F.when(ok, F.col("signal_context")).alias("signal_context"),
         F.when(ok, F.col("model_id")).alias("model_id"))
+    return LiveScores(rows, members.join(ids, ["gkey", "anchor"]).select("cohort_id", "fund_id").distinct())
 
 
 def late_seen(status: Column) -> Column:

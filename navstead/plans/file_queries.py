@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 
-from ..operators import ledger, monitoring, peers, universe
+from ..operators import ledger, monitoring, peers, store, universe
 from ..session import shared_folder
 from ..sources import scans, sinks
 from . import fixtures as X
@@ -102,12 +102,70 @@ def _(spark, sf):
 
 @query("ledger_append_sink", sql("SELECT fund_id, target, anchor, model_id FROM dedup", "dedup"))
 def _(spark, sf):
-    path = landing(spark, "append")
+    book = store.LedgerStore(spark, landing(spark, "append"))
     rows = L.predictions(spark, sf).drop("gkey")
-    ledger.append(rows.where(F.col("anchor") < "1997-06-30"), path, scans.PREDICTION)
+    book.append(rows.where(F.col("anchor") < "1997-06-30"))
     # The second batch overlaps the first one; keyed rows of the overlap add nothing.
-    ledger.append(rows.where((F.col("anchor") >= "1997-06-30") | ((F.col("anchor") > "1997-01-01") & F.col("model_id").isNotNull())), path, scans.PREDICTION)
-    return scans.ledger(spark, path).select("fund_id", "target", "anchor", "model_id")
+    book.append(rows.where((F.col("anchor") >= "1997-06-30") | ((F.col("anchor") > "1997-01-01") & F.col("model_id").isNotNull())))
+    return book.predictions().select("fund_id", "target", "anchor", "model_id")
+
+
+STAMPED = """
+  SELECT fund_id, target, anchor, model_id, '2001-01-01T00:00:00' logged_at, CASE WHEN logged_at LIKE '%T12%' THEN 'a' || run_id ELSE run_id END run_id,
+    CASE WHEN logged_at LIKE '%T12%' THEN probability/2 ELSE probability END probability FROM preds"""
+
+
+@query("ledger_store_equal_stamps", sql(f"""
+  WITH s AS ({STAMPED})
+  SELECT fund_id, target, anchor, model_id, run_id, {r6('probability')} probability FROM s WHERE model_id IS NULL
+  UNION ALL SELECT fund_id, target, anchor, model_id, run_id, {r6('probability')} FROM (
+    SELECT * FROM s WHERE model_id IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY fund_id, target, anchor, model_id ORDER BY logged_at, run_id) = 1)""", "preds"))
+def _(spark, sf):
+    """All rows carry one second; overlapping batches; the run decides which copy stays."""
+    book, later = store.LedgerStore(spark, landing(spark, "stamps")), F.col("logged_at").contains("T12")
+    rows = L.predictions(spark, sf).drop("gkey").withColumn("run_id", F.when(later, F.concat(F.lit("a"), "run_id")).otherwise(F.col("run_id")))
+    rows = rows.withColumn("probability", F.when(later, F.col("probability") / 2).otherwise(F.col("probability"))).withColumn("logged_at", F.lit("2001-01-01T00:00:00"))
+    book.append(rows.where(F.col("anchor") < "1997-06-30"))
+    book.append(rows.where((F.col("anchor") >= "1997-06-30") | F.col("model_id").isNotNull()))
+    return rounded(book.predictions().select("fund_id", "target", "anchor", "model_id", "run_id", "probability"))
+
+
+@query("ledger_store_compaction", sql("""
+  SELECT anchor[1:7] anchor_month, COUNT(*) n, COUNT(DISTINCT logged_at) n_stamps, COUNT(DISTINCT fund_id) n_funds FROM (
+    SELECT anchor, logged_at, fund_id FROM dedup WHERE anchor LIKE '1997%' UNION ALL SELECT anchor, logged_at, fund_id FROM preds WHERE anchor NOT LIKE '1997%') GROUP BY 1""", "preds", "dedup"))
+def _(spark, sf):
+    """An exchanged file is taken over with its copies, then one year of months is rewritten."""
+    path = landing(spark, "exchanged")
+    sinks.append_ledger(L.predictions(spark, sf).drop("gkey"), path)
+    book = store.LedgerStore(spark, landing(spark, "compaction"))
+    book.load(scans.ledger(spark, path))
+    book.compact([f"1997-{m:02d}" for m in range(1, 13)])
+    return book.predictions().groupBy("anchor_month").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("logged_at").alias("n_stamps"), F.countDistinct("fund_id").alias("n_funds"))
+
+
+@query("ledger_store_cohorts", sql("""
+  SELECT DISTINCT fund_id, anchor, len(cohort_codes) n_members, list_aggregate(cohort_codes, 'min') first_member, list_aggregate(cohort_codes, 'max') last_member FROM preds""", "preds"))
+def _(spark, sf):
+    """Rows name their cohort by id; its members stand once a month."""
+    book = store.LedgerStore(spark, landing(spark, "cohorts"))
+    book.append(L.predictions(spark, sf).drop("gkey"))
+    sizes = book.members().groupBy("anchor_month", "cohort_id").agg(
+        F.count(F.lit(1)).alias("n_members"), F.min("fund_id").alias("first_member"), F.max("fund_id").alias("last_member"))
+    rows = book.predictions().join(sizes, ["anchor_month", "cohort_id"])
+    return rows.select("fund_id", "anchor", "n_members", "first_member", "last_member").distinct()
+
+
+@query("ledger_store_grading", sql(f"""
+  SELECT fund_id, target, anchor, model_id, status, y_realized, {r6('own_r_fwd')} own_r_fwd, n_peer_r_fwd, 1 round FROM graded""", "graded"))
+def _(spark, sf):
+    """Matured months are graded once: a second round finds nothing to grade."""
+    book, today = store.LedgerStore(spark, landing(spark, "grading")), F.lit(L.TODAY).cast("date")
+    book.append(L.predictions(spark, sf).drop("gkey").withColumn("cohort_percentile", F.lit(0.5)))
+    book.add_realizations(L.realized_before(spark, sf))
+    rounds = [book.grade(X.nav(spark, sf), today, L.retired(spark, sf)).withColumn("round", F.lit(i)) for i in (1, 2)]
+    shown = ("fund_id", "target", "anchor", "model_id", "status", "y_realized", "own_r_fwd", "n_peer_r_fwd", "round")
+    return rounded(rounds[0].unionByName(rounds[1]).select(*shown))
 
 
 @query("panel_sink", sql(f"SELECT fund_id, anchor, CAST(year(anchor) AS INTEGER) anchor_year, {r6('cagr_1y')} cagr_1y FROM panel WHERE year(anchor) = 1997", "panel"))

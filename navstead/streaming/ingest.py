@@ -40,10 +40,10 @@ def append_prices(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def append_predictions(stream: DataFrame, path: str, checkpoint: str, schema: str = scans.PREDICTION) -> StreamingQuery:
-    """Ledger append per micro-batch; a replayed batch adds nothing."""
+def append_predictions(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append to the ledger store per micro-batch; a replayed batch adds nothing and reads its own months alone."""
 
     def write(batch: DataFrame, _: int) -> None:
-        ledger.append(batch, path, schema)
+        ledger.append(batch, path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,10 +1,11 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from navstead.operators import ledger, monitoring
+from navstead.operators import cohorts, ledger, monitoring, store
 from navstead.sources import scans
 from navstead.streaming import ingest
 
@@ -16,17 +17,100 @@ def rows(spark, data):
 
 
 def test_append_is_idempotent_and_keeps_unkeyed_rows(spark, tmp_path):
-    path = str(tmp_path / "ledger")
+    book = store.LedgerStore(spark, str(tmp_path / "ledger"))
     batch = rows(spark, [("1", "2020-01-31", "m1", "r1", "b", 0.2), ("1", "2020-01-31", "m1", "r1", "a", 0.1), ("1", "2020-01-31", "m2", "r1", "a", 0.3),
-                         ("2", "2020-01-31", None, "r1", "a", 0.4), ("2", "2020-01-31", None, "r1", "a", 0.4)])
-    ledger.append(batch, path, SHAPE)
-    first = scans.ledger(spark, path, SHAPE)
-    assert first.count() == 4
-    assert first.where("model_id = 'm1'").first().probability == 0.1
-    ledger.append(batch, path, SHAPE)
-    again = scans.ledger(spark, path, SHAPE)
-    assert again.where("model_id is not null").count() == 2 and again.where("model_id is null").count() == 4
-    assert ledger.dedupe(again).count() == 6
+                         ("2", "2020-01-31", None, "r1", "a", 0.4), ("2", "2020-01-31", None, "r1", "a", 0.4), ("3", None, "m1", "r1", "a", 0.5)])
+    assert book.append(batch) == ["2020-01", "none"]
+    first = book.predictions()
+    assert first.count() == 5
+    assert first.where("model_id = 'm1' AND anchor IS NOT NULL").first().probability == 0.1
+    book.append(batch)
+    again = book.predictions()
+    keyed = "model_id IS NOT NULL AND anchor IS NOT NULL"
+    assert again.where(keyed).count() == 2 and again.where(f"NOT ({keyed})").count() == 6
+    assert ledger.dedupe(again).count() == 8
+    assert sorted((r.anchor_month, r.fund_id) for r in book.members().collect()) == sorted((m, c) for m in ("2020-01", "none") for c in "1234")
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_append_reads_keys_of_its_own_months_only(spark, tmp_path, monkeypatch):
+    book = store.LedgerStore(spark, str(tmp_path / "ledger"))
+    book.append(rows(spark, [(str(i), f"20{y}-0{m}-28", "m", "r", "a", 0.1) for i in range(5) for y in (18, 19, 20) for m in (1, 2, 3)]))
+    seen = []
+    inner = ledger.new_predictions
+    monkeypatch.setattr(ledger, "new_predictions", lambda batch, existing, order: seen.append(existing) or inner(batch, existing, order))
+    book.append(rows(spark, [("1", "2020-02-28", "m", "r2", "b", 0.9), ("9", "2020-03-28", "m", "r2", "b", 0.9)]))
+    plan = plan_of(seen[0])
+    assert "PartitionFilters: [" in plan and "2020-02" in plan and "2020-03" in plan and "2018" not in plan
+    assert "probability" not in plan and "PushedFilters: []" in plan  # keys alone
+    assert book.predictions().count() == 46 and book.predictions(["2020-03"]).count() == 6
+    assert {r.probability for r in book.predictions().where("fund_id = '1'").collect()} == {0.1}
+
+
+def test_equal_stamps_keep_one_copy_whatever_the_partitions(spark, tmp_path):
+    copies = [("1", "2020-01-31", "m", f"r{i}", "2020-02-01T00:00:00", i / 10.0) for i in (3, 1, 2, 5)]
+    got = set()
+    for parts in (1, 4):
+        book = store.LedgerStore(spark, str(tmp_path / f"l{parts}"))
+        book.append(rows(spark, copies).repartition(parts))
+        got.add(tuple((r.run_id, r.probability) for r in book.predictions().collect()))
+    assert got == {(("r1", 0.1),)}
+
+
+def test_compaction_rewrites_the_given_months_alone(spark, tmp_path):
+    book = store.LedgerStore(spark, str(tmp_path / "ledger"))
+    data = [("1", f"2020-0{m}-28", "m", f"r{i}", "a", 0.1) for m in (1, 2) for i in range(3)]
+    book.load(rows(spark, data))
+    book.load(rows(spark, data))
+    book.compact(["2020-01"])
+    assert book.predictions(["2020-01"]).count() == 1 and book.predictions(["2020-02"]).count() == 6
+    assert book.members(["2020-01"]).count() == 4 and book.members(["2020-02"]).count() == 8
+
+
+def test_cohort_id_follows_from_the_members_alone(spark):
+    members = spark.createDataFrame([("a", c) for c in "4132"] + [("b", c) for c in "1234"] + [("c", c) for c in "123"] + [("d", "é")], "k string, fund_id string")
+    got = {r.k: r.cohort_id for r in cohorts.cohort_ids(members.repartition(3), ["k"]).collect()}
+    assert got["a"] == got["b"] != got["c"]
+    lists = spark.createDataFrame([("a", list("1243")), ("c", list("321")), ("d", ["é"]), ("e", None), ("f", [])], "k string, codes array<string>")
+    listed = {r.k: r.i for r in lists.select("k", cohorts.id_of_codes("codes").alias("i")).collect()}
+    assert [listed[k] for k in "acd"] == [got[k] for k in "acd"] and listed["e"] is None and listed["f"] is not None
+
+
+def test_an_added_fund_is_graded_like_a_member(spark):
+    """The cohort with one fund more, from order statistics, against the list written out."""
+    rng = random.Random(7)
+    nav, due, lists = [], [], []
+    for c in range(14):
+        size = rng.randint(1, 9)
+        codes = [f"{c}-{i}" for i in range(size)]
+        for f in [*codes, f"{c}-new"]:
+            nav.append((f, dt.date(2018, 1, 31), 100.0))
+            if rng.random() < 0.9:
+                nav.append((f, dt.date(2021, 1, 29), rng.choice([90.0, 100.0, 110.0, 120.0, 131.5])))
+        due.append((f"{c}-new", "q1", "2018-01-31", "m", "r", "a", 0.5, 0.5, sorted([*codes, f"{c}-new"]), f"k{c}", f"{c}-new"))
+        lists += [(f"k{c}", f) for f in codes]
+    nav = spark.createDataFrame(nav, "fund_id string, dt date, nav double")
+    rows_of = spark.createDataFrame(due, f"{SHAPE}, cohort_id string, cohort_added string")
+    written = ledger.realize(rows_of.drop("cohort_id", "cohort_added"), nav)
+    by_id = ledger.realize(rows_of.drop("cohort_codes"), nav, spark.createDataFrame(lists, "cohort_id string, fund_id string"))
+    assert sorted(map(tuple, by_id.collect())) == sorted(map(tuple, written.collect()))
+    shown = cohorts.with_codes(rows_of.drop("cohort_codes"), spark.createDataFrame(lists, "cohort_id string, fund_id string"))
+    assert {r.fund_id: r.cohort_codes for r in shown.collect()} == {d[0]: d[8] for d in due}
+
+
+def test_grading_twice_adds_nothing(spark, tmp_path):
+    book = store.LedgerStore(spark, str(tmp_path / "ledger"))
+    nav = spark.createDataFrame([(c, d, v) for i, c in enumerate("12345") for d, v in ((dt.date(2018, 1, 31), 100.0), (dt.date(2021, 1, 29), 100.0 + i))], "fund_id string, dt date, nav double")
+    book.append(rows(spark, [(c, a, "m", "r", "a", 0.5) for c in "15" for a in ("2018-01-31", "2019-06-30")]))
+    none, today = spark.createDataFrame([], "model_id string"), F.lit("2021-02-15").cast("date")
+    first = book.grade(nav, today, none).collect()
+    assert sorted((r.fund_id, r.anchor, r.status) for r in first) == [("1", "2018-01-31", "REALIZED"), ("5", "2018-01-31", "REALIZED")]
+    assert book.grade(nav, today, none).count() == 0 and book.realizations().count() == 2
+    due = F.col("anchor_month") <= F.date_format(F.add_months(today, -36), "yyyy-MM")
+    assert "2018-02" in plan_of(book.predictions().where(due)).split("PartitionFilters")[1]
 
 
 def test_corrupt_lines_are_skipped_anywhere(spark, tmp_path):
@@ -115,5 +199,5 @@ def test_streams(spark, tmp_path):
     rows(spark, [("1", "2020-01-31", "m", "r", "a", 0.1), ("1", "2020-01-31", "m", "r", "b", 0.1)]).write.parquet(source)
     for i in range(2):
         stream = spark.readStream.schema(SHAPE).parquet(source)
-        ingest.append_predictions(stream, out, str(tmp_path / f"cp{i}"), SHAPE).awaitTermination(120)
-    assert scans.ledger(spark, out, SHAPE).count() == 1
+        ingest.append_predictions(stream, out, str(tmp_path / f"cp{i}")).awaitTermination(120)
+    assert store.LedgerStore(spark, out).predictions().count() == 1

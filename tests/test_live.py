@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from navstead import constants as K
-from navstead.operators import live
+from navstead.operators import cohorts, live
 from navstead.plans import model_queries as M
 from navstead.session import cut_lineage
 
@@ -35,7 +35,8 @@ def run(spark, world, codes):
     nav, manifest, master, overrides = world
     asked = spark.createDataFrame([(c,) for c in codes], "fund_id string")
     out = live.score_live(asked, manifest, nav, master, overrides, M.small_model(spark), list(M.COEF), F.lit("2021-06-30").cast("date"))
-    return {r.fund_id: r for r in out.collect()}
+    assert out.rows.where("status = 'OK'").count() == out.rows.where("cohort_id IS NOT NULL").count()
+    return {r.fund_id: r for r in cohorts.with_codes(out.rows, out.members).collect()}
 
 
 def test_gates_and_isolation(spark, world):
