@@ -6,8 +6,8 @@ chunk is cut into terms once, where its rows lie side by side.  Its terms then t
 Only letters of ASCII and characters beyond it make a term, so no term spans white space.
 
 A term needs a number of documents, not their names: a row carries at most ``min_docs`` - 1 distinct
-ids, and a flag once there are more.  Fewer ids are the complete list, so the test stays exact when
-chunks of one document share a term, and nothing about frequent chunks is kept but the flag.
+ids, and none once there are more.  Fewer ids are the complete list, so the test stays exact when
+chunks of one document share a term, and nothing about the documents of frequent chunks is kept.
 
 Sums over all kept terms of a language need no row for a term that a group lacks: such a term has the
 same smoothed share everywhere in the group.  A sum is split into terms of both groups, of one (by
@@ -35,14 +35,29 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")  # bytes of UTF-8
-HELD = 800_000  # (group, chunk) counts that a task holds before it passes them on
+HELD = 1_500_000  # (group, chunk) counts that a task holds before it passes them on
 ROWS = 10_000
-HOLDERS = "sources array<string>, counts array<long>, many boolean, ids array<long>"
-LONGS = pa.list_(pa.int64())
+NO_ID = -(2**63)  # stands for a missing doc_id
+#: Most chunks of a task have one source and one document, which stand beside the lists of the others; no ``id`` means enough documents.
+HOLDERS = "source string, n long, sources array<string>, counts array<long>, id long, ids array<long>"
+NAMES = ["source", "n", "sources", "counts", "id", "ids"]
 
 
-def listed(values: pa.Array, ends: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+def first_and_rest(values: pa.Array, sizes: np.ndarray) -> tuple[pa.Array, pa.ListArray]:
+    """Of consecutive runs of the given sizes: their first values, and lists of the others; both null where there are none."""
+    starts = np.cumsum(sizes) - sizes
+    others = np.ones(len(values), bool)
+    others[starts[sizes > 0]] = False
+    more = np.maximum(sizes - 1, 0)
+    rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(more)]), pa.int32()), values.filter(pa.array(others)), mask=pa.array(more == 0))
+    return values.take(pa.array(starts, pa.int64(), mask=sizes == 0)), rest
+
+
+def with_first(first: pa.Array, rest: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """All values and the row that each belongs to, rows' first values leading."""
+    n = np.asarray(pc.fill_null(rest.value_lengths(), 0))
+    present = np.flatnonzero(np.asarray(first.is_valid()))
+    return pa.concat_arrays([first.drop_null(), rest.flatten()]), np.concatenate([present, np.repeat(np.arange(len(n)), n)])
 
 
 def in_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -51,11 +66,12 @@ def in_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def chunk_counts(docs: DataFrame, min_docs: int) -> DataFrame:
-    """A row per (language, chunk) of a task: its sources with their counts, and ids of documents or ``many``."""
+    """A row per (language, chunk) of a task: its sources with their counts, and the ids of its documents if they are few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, dict[str, Counter]] = {}
         holders: dict[str, dict[bytes, list]] = {}
+        enough: dict[str, set[bytes]] = {}  # chunks with enough documents, which need no further look
 
         def passed_on() -> Iterator[pa.RecordBatch]:
             for lang, ids in holders.items():
@@ -66,34 +82,37 @@ def chunk_counts(docs: DataFrame, min_docs: int) -> DataFrame:
                 own = np.repeat(np.arange(len(sources)), [len(counts[lang][s]) for s in sources])
                 order = np.argsort(at, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(ids)))])
-                many = [len(x) >= min_docs for x in ids.values()]
-                yield from in_slices(pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(ids), pa.string()), pa.array(list(ids), pa.binary()),
-                        listed(pa.array(sources, pa.string()).take(pa.array(own[order])), ends), listed(pa.array(n[order], pa.int64()), ends),
-                        pa.array(many, pa.bool_()), pa.array([() if m else x for m, x in zip(many, ids.values(), strict=True)], LONGS),
-                    ],
-                    names=["lang", "chunk", "sources", "counts", "many", "ids"]))
+                few = [x if len(x) < min_docs else () for x in ids.values()]
+                flat = pa.array(np.fromiter((i for x in few for i in x), np.int64))
+                holders_of = (
+                    *first_and_rest(pa.array(sources, pa.string()).take(pa.array(own[order])), np.diff(ends)), *first_and_rest(pa.array(n[order]), np.diff(ends)),
+                    *first_and_rest(flat, np.fromiter(map(len, few), np.int64)))
+                columns = [pa.array([lang] * len(ids), pa.string()), pa.array(list(ids), pa.binary()), *(holders_of[i] for i in (0, 2, 1, 3, 4, 5))]
+                yield from in_slices(pa.RecordBatch.from_arrays(columns, names=["lang", "chunk", *NAMES]))
             counts.clear()
             holders.clear()
+            enough.clear()
 
         held = 0
         for batch in batches:
             for doc, text, lang, source in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3), strict=True):
-                lang, doc = lang.as_py(), doc.as_py()
-                found = Counter(text.as_py().split())  # bytes split at ASCII white space alone
-                if not found:
+                lang, doc = lang.as_py(), doc.as_py() if doc.is_valid else NO_ID
+                chunks = text.as_py().split()  # bytes split at ASCII white space alone
+                if not chunks:
                     continue
                 own, ids = counts.setdefault(lang, {}).setdefault(source.as_py(), Counter()), holders.setdefault(lang, {})
                 held -= len(own)
-                own.update(found)
+                own.update(chunks)
                 held += len(own)
-                for chunk in found:
+                full = enough.setdefault(lang, set())
+                for chunk in set(chunks) - full:
                     some = ids.get(chunk)
                     if some is None:
                         ids[chunk] = [doc]
-                    elif len(some) < min_docs and doc not in some:
+                    elif doc not in some:
                         some.append(doc)
+                        if len(some) >= min_docs:
+                            full.add(chunk)
                 if held >= HELD:
                     yield from passed_on()
                     held = 0
@@ -111,31 +130,34 @@ def chunk_terms(counts: DataFrame, min_docs: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            chunks, langs, names = batch.column(1).dictionary_encode(), batch.column(0).dictionary_encode(), batch.column(2).flatten().dictionary_encode()
+            chunks, langs = batch.column(1).dictionary_encode(), batch.column(0).dictionary_encode()
             own = chunks.dictionary.to_pylist()
             cut = [terms if c == last else TERM.findall(c.lower()) for c in own]  # bytes.lower() changes A-Z alone
             last, terms = own[-1], cut[-1]
             code, lang = (np.asarray(x.indices) for x in (chunks, langs))
             first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (lang[1:] != lang[:-1])]))  # of each (chunk, language)
             run_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(code))))
-            width = len(names.dictionary)
-            lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            pair, back = np.unique(np.repeat(run_of, lengths) * width + np.asarray(names.indices), return_inverse=True)
-            total = np.zeros(len(pair), np.int64)
-            np.add.at(total, back, batch.column(3).flatten().to_numpy())
-            ends = np.concatenate([[0], np.cumsum(np.bincount(pair // width, minlength=len(first)))])
-            many = np.logical_or.reduceat(batch.column(4).to_numpy(zero_copy_only=False), first)
-            id_ends = np.concatenate([[0], np.cumsum(batch.column(5).value_lengths().to_numpy(zero_copy_only=False))])[np.append(first, len(code))]
-            flat, ids = batch.column(5).flatten().to_pylist(), []
-            for i, (a, b) in enumerate(zip(id_ends[:-1], id_ends[1:], strict=True)):
-                some = set(flat[a:b]) if b - a > 1 and not many[i] else flat[a:b]
-                many[i] |= len(some) >= min_docs
-                ids.append(() if many[i] else some)
+            names, row = with_first(batch.column(2), batch.column(4))
+            names, width = names.dictionary_encode(), batch.num_rows + len(names)
+            pair, back = np.unique(run_of[row] * width + np.asarray(names.indices), return_inverse=True)
+            total = np.bincount(back, with_first(batch.column(3), batch.column(5))[0].to_numpy()).astype(np.int64) if len(pair) else np.zeros(0, np.int64)
+            sizes = np.bincount(pair // width, minlength=len(first))
+            ids, row = with_first(batch.column(6), batch.column(7))
+            ids, order = ids.to_numpy(), run_of[row]
+            at = np.lexsort((ids, order))
+            ids, order = ids[at], order[at]
+            once = np.concatenate([[True], (ids[1:] != ids[:-1]) | (order[1:] != order[:-1])]) if len(ids) else np.zeros(0, bool)
+            held = np.bincount(order[once], minlength=len(first))
+            many = held >= min_docs
+            many[run_of[~np.asarray(batch.column(6).is_valid())]] = True
+            once &= ~many[order]
+            summed = (
+                *first_and_rest(names.dictionary.take(pa.array(pair % width)), sizes), *first_and_rest(pa.array(total), sizes),
+                *first_and_rest(pa.array(ids[once]), np.where(many, 0, held)))
             rows = pa.array(cut, pa.list_(pa.binary())).take(pa.array(code[first]))
             at = pc.list_parent_indices(rows)
-            summed = (listed(names.dictionary.take(pa.array(pair % width)), ends), listed(pa.array(total), ends), pa.array(many, pa.bool_()), pa.array(ids, LONGS))
-            columns = [batch.column(0).take(pa.array(first)).take(at), rows.flatten().cast(pa.string()), *(x.take(at) for x in summed)]
-            yield from in_slices(pa.RecordBatch.from_arrays(columns, names=["lang", "term", "sources", "counts", "many", "ids"]))  # a chunk may have any number of terms
+            columns = [batch.column(0).take(pa.array(first)).take(at), rows.flatten().cast(pa.string()), *(summed[i].take(at) for i in (0, 2, 1, 3, 4, 5))]
+            yield from in_slices(pa.RecordBatch.from_arrays(columns, names=["lang", "term", *NAMES]))  # a chunk may have any number of terms
 
     return counts.repartition("chunk").sortWithinPartitions("chunk", "lang").mapInArrow(run, f"lang string, term string, {HOLDERS}")
 
@@ -143,11 +165,14 @@ def chunk_terms(counts: DataFrame, min_docs: int) -> DataFrame:
 def kept_counts(docs: DataFrame, min_docs: int) -> DataFrame:
     """(lang, source, term, n) of the terms that enough documents of the language hold."""
     term = Window.partitionBy("lang", "term")
-    ids = F.array_distinct(F.flatten(F.collect_list("ids").over(term)))
+    ids = F.array_distinct(F.concat(F.collect_list("id").over(term), F.flatten(F.collect_list("ids").over(term))))
+    enough = F.max(F.col("id").isNull()).over(term) | (F.size(ids) >= min_docs)
     dealt = chunk_terms(chunk_counts(docs, min_docs), min_docs).repartition("lang", "term")
-    kept = dealt.withColumn("kept", F.max("many").over(term) | (F.size(ids) >= min_docs)).where("kept")
-    each = kept.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("s"))
-    return each.groupBy("lang", "term", F.col("s.sources").alias("source")).agg(F.sum("s.counts").alias("n")).select("lang", "source", "term", "n")
+    kept = dealt.withColumn("kept", enough).where("kept")
+    own = F.array(F.struct(F.col("source"), F.col("n")))
+    others = F.coalesce(F.transform(F.arrays_zip("sources", "counts"), lambda s: F.struct(s["sources"].alias("source"), s["counts"].alias("n"))), F.array().cast("array<struct<source:string,n:bigint>>"))
+    each = kept.select("lang", "term", F.explode(F.concat(own, others)).alias("s"))
+    return each.groupBy("lang", "term", F.col("s.source").alias("source")).agg(F.sum("s.n").alias("n")).select("lang", "source", "term", "n")
 
 
 def share(n: Column, total: Column, terms: Column, scale: int) -> Column:

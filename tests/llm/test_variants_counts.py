@@ -162,7 +162,7 @@ def divergence_docs(seed, n=90):
             (502, "x", "it", "b"), (503, "don't-don't " * 3000, "en", "long")]
 
 
-@pytest.mark.parametrize("held", [20, 800_000])
+@pytest.mark.parametrize("held", [20, 1_500_000])
 def test_source_divergence_matches_brute_force(spark, monkeypatch, held):
     monkeypatch.setattr(divergence, "HELD", held)
     for seed, min_docs in ((1, 3), (2, 10)):
