@@ -8,6 +8,7 @@ import os
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -62,13 +63,52 @@ def shared_folder(spark: SparkSession) -> str:
     return _SCRATCH[app]
 
 
+class TableScope:
+    """Tables that are written while it is open, to be dropped together once their reader's own result is written.
+
+    Without a scope a table stays until the application ends.  Scopes nest; a table belongs to the
+    innermost one of its thread.
+    """
+
+    _open = threading.local()
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> TableScope:
+        self._open.stack = [*getattr(self._open, "stack", ()), self]
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._open.stack = self._open.stack[:-1]
+
+    @classmethod
+    def note(cls, path: str) -> str:
+        """Put a path under the innermost open scope, if there is one."""
+        stack = getattr(cls._open, "stack", ())
+        if stack:
+            stack[-1].paths.append(path)
+        return path
+
+    def drop(self) -> None:
+        paths, self.paths = self.paths, []
+        for path in paths:
+            drop_folder(self.spark, path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system; an absent one is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a stage boundary to the shared folder and read it back.
 
     Used where a result feeds several branches: it is computed once, survives lost executors,
     and keeps later plans short.  Parquet keeps column pruning and size statistics.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = TableScope.note(f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -83,7 +123,8 @@ def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     def get(spark: SparkSession, source: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, source, f"{build.__module__}.{build.__qualname__}")
         if key not in _TABLES:
-            _TABLES[key] = cut_lineage(build(spark, source))
+            with TableScope(spark):  # kept for the application, whatever scope the caller has open
+                _TABLES[key] = cut_lineage(build(spark, source))
         return _TABLES[key]
 
     return get
