@@ -24,13 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .graph import components
 
-SLOT_BITS = 20
+SLOT_BITS, BLOCK_SLOTS = 20, 1024
 CHUNK_SETS, CHUNK_TOKENS, CHUNK_POSTINGS = 1000, 2_000_000, 1024
 SEGMENT = 32
 EDGES = "a long, b long"
@@ -71,21 +71,33 @@ def parity_bits(grams: np.ndarray) -> np.ndarray:
 
 
 def order_sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Binary logarithm of the n-gram count per sketch slot, over all documents; 2**SLOT_BITS bytes."""
+    """Binary logarithm of the n-gram count per sketch slot, over all documents; 2**SLOT_BITS bytes.
+
+    Tasks pass their counts on in blocks of slots, which are added up block by block.
+    """
+    blocks = (1 << SLOT_BITS) // BLOCK_SLOTS
+
+    def listed(counts: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(counts) + 1, BLOCK_SLOTS), pa.int32()), pa.array(counts))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
             for text in batch.column(0):
                 np.add.at(total, slots(ngram_hashes(text.as_py(), n)), 1)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), listed(total)], names=["block", "counts"])
 
-    sums = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    out = np.zeros(1 << SLOT_BITS, np.uint8)
-    found = sums.select("slot", F.floor(F.log2("n")).cast("int").alias("bits")).toArrow()  # bounded by the sketch
-    out[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
-    return out
+    def added(table: pa.Table) -> pa.Table:
+        total = sum(c.flatten().to_numpy().reshape(-1, BLOCK_SLOTS).sum(axis=0) for c in table.column("counts").chunks)
+        bits = np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)
+        return pa.table([pa.array([table.column("block")[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
+
+    sums = docs.select("text").mapInArrow(count, "block int, counts array<long>").groupBy("block").applyInArrow(added, "block int, bits binary")
+    out = np.zeros((blocks, BLOCK_SLOTS), np.uint8)
+    for r in sums.collect():  # bounded by the sketch
+        out[r.block] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
 
 
 def ordered(grams: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -192,11 +204,10 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
     ``row``: a doc_id may be the first of several classes, and what repeats would cancel in a signature.
     """
     tokens = sets.select("row", "size", F.explode("prefix").alias("token"))
-    frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    shared = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")  # postings travel once
     ratio = percent / 100
     band = F.floor(F.log(F.col("size").cast("double")) / -float(np.log(ratio)) + 1e-9).cast("int")
-    shared = tokens.join(frequent, "token").withColumn("own", band)
-    placed = cut_lineage(shared.select("row", "token", F.explode(F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")), F.struct((F.col("own") + 1).alias("band"), F.lit(False).alias("home")))).alias("x")).select("row", "token", "x.*"))
+    placed = cut_lineage(shared.withColumn("own", band).select("row", "token", F.explode(F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")), F.struct((F.col("own") + 1).alias("band"), F.lit(False).alias("home")))).alias("x")).select("row", "token", "x.*"))
     buckets = placed.groupBy("token", "band").agg(
         F.count_if("home").alias("homes"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("row", "home")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "home", "row")).alias("s2"),
     ).where("homes > 0 AND n > 1")
