@@ -7,6 +7,8 @@ with ``n_chars`` following the text.
 
 from __future__ import annotations
 
+import functools
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,9 +20,30 @@ from navstead.llm.llm_queries import tokenizer_file
 from navstead.llm.packing import best_fit_packing
 from navstead.llm.quality import kept_documents
 from navstead.llm.secrets import redacted
-from navstead.session import cut_lineage
+from navstead.session import TableScope, cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left = threading.local()
+
+
+def staged(stage: Stage) -> Stage:
+    """A stage that first drops the inner tables of the stage before it, whose result is written by then.
+
+    Where ``docs`` still reads from them (a chain that nobody wrote), they stay until the application ends.
+    """
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for scope in getattr(_left, "scopes", ()):
+            names = {p.rsplit("/", 1)[-1] for p in scope.paths}
+            if not any(n in f for f in docs.inputFiles() for n in names):
+                scope.drop()
+        with TableScope(spark) as own:
+            out = stage(spark, docs, sf_dir)
+        _left.scopes = [own]
+        return out
+
+    return run_stage
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -28,16 +51,19 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+@staged
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the adaptive thresholds reject go."""
     return kept_documents(docs)
 
 
+@staged
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three or more documents share stay in the largest doc_id alone; a text may end up empty."""
     return counted(line_dedup(docs).select(*docs.columns))
 
 
+@staged
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each component stays, with one row; rows without doc_id stay."""
     found = ngram_jaccard_components(docs)
@@ -49,11 +75,13 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
+@staged
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mask."""
     return counted(redacted(docs))
 
 
+@staged
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their place in a sequence."""
     return best_fit_packing(docs, tokenizer_file("byte_bpe_50k.json"), capacity=1024, end_id=2)
@@ -68,6 +96,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = TableScope(spark)
     for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+        with TableScope(spark) as own:
+            docs = cut_lineage(stage(spark, docs, sf_dir))
+        before.drop()
+        before = own
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shared_folder
+from ..session import TableScope, cut_lineage, drop_folder, shared_folder
 
 BLANK = b" \t\n\v\f\r"
 LOWEST = -(2**63)
@@ -92,6 +92,8 @@ class LineRuns:
         while len(self.levels[level]) >= self.fanout:
             paths, self.levels[level] = self.levels[level], []
             self._write(self.merged(paths), level + 1)
+            for path in paths:  # what the next level holds now
+                drop_folder(self.spark, path)
             level += 1
 
 
@@ -134,7 +136,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     low, high = (ends.a or 0, ends.b or 0) if ends.n else (0, 0)
     if docs.select(id_col).count() > docs.select(id_col).distinct().count():
         keys = cut_lineage(keys.distinct())  # rows that repeat a doc_id are one document
-    runs = LineRuns(spark, f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}", min_docs)
+    runs = LineRuns(spark, TableScope.note(f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"), min_docs)
     cuts = [low + (high - low + 1) * i // batches for i in range(1, batches)]
     for i in reversed(range(batches)):
         batch = keys if i == 0 else keys.where(F.col("doc_id") >= cuts[i - 1])
