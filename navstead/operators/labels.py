@@ -22,10 +22,11 @@ def anchor_grid(spark, first: str = K.ANCHOR_GRID[0], last: str = K.ANCHOR_GRID[
 
 def build_labels(
     nav: DataFrame, manifest: DataFrame, pairs: DataFrame, bench: DataFrame, bench_meta: DataFrame,
-    bench_names: DataFrame | None = None,
+    bench_names: DataFrame | None = None, months: int = 12 * K.FORWARD_YEARS, min_years: float = K.MIN_FORWARD_YEARS,
 ) -> DataFrame:
-    """One row per fund and anchor with a forward return, resolved benchmark and OR-label.
+    """One row per fund and anchor with a forward return over ``months``, resolved benchmark and OR-label.
 
+    Folds over these labels must purge by the same number of months.
     ``bench_names`` (fund_id, name) overrides the category and sector benchmark table.
     """
     keyed = peers.with_group_key(manifest)
@@ -33,10 +34,10 @@ def build_labels(
         keyed = keyed.withColumn("bench_name", peers.benchmark_name("category", "sector"))
     else:
         keyed = keyed.join(bench_names.select("fund_id", F.col("name").alias("bench_name")), "fund_id", "left")
-    fwd = cut_lineage(peers.forward_returns(nav, pairs, "fund_id", "nav").join(
+    fwd = cut_lineage(peers.forward_returns(nav, pairs, "fund_id", "nav", months, min_years).join(
         keyed.select("fund_id", "gkey", "group_kind", "bench_name", "scheme_name", "category", "sector"), "fund_id"))
     asked = fwd.select(F.col("bench_name").alias("name"), "anchor").where(F.col("name").isNotNull()).distinct()
-    real = peers.real_index_forward(bench, bench_meta, asked, asked).withColumnRenamed("name", "bench_name")
+    real = peers.real_index_forward(bench, bench_meta, asked, asked, months, min_years).withColumnRenamed("name", "bench_name")
     rows = peers.peer_median(fwd).join(real, ["bench_name", "anchor"], "left")
     has_real, has_peer = F.col("bench_fwd").isNotNull(), F.col("peer_fwd").isNotNull()
     peer_q = F.when(has_peer, peers.peer_quality("group_kind")).otherwise("no_benchmark")

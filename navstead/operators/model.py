@@ -10,10 +10,13 @@ import heapq
 import itertools
 import json
 import math
+import random
+from collections import Counter
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -24,7 +27,8 @@ from .. import constants as K
 from ..functions.numeric import finite, logit
 from ..functions.ranking import group_quantiles
 from ..session import cut_lineage
-from . import cv, evaluation
+from ..sources import stamps
+from . import batchfit, cv, evaluation
 from .inference import interpolate, sigmoid
 from .isotonic import isotonic_blocks
 
@@ -255,13 +259,13 @@ def sensitivity(rows: DataFrame, features: Sequence[str], target: str, blocks=K.
     return out
 
 
-def evaluate_once(spark, path: str, compute, force: bool = False) -> DataFrame:
-    """A stamped result is reused; it is computed again only when forced."""
-    from ..sources.scans import exists
+def evaluate_once(spark, path: str, compute, force: bool = False, lease: float = stamps.LEASE_SECONDS) -> DataFrame:
+    """A stamped result is reused by every driver; it is computed again, under a stamp of its own, only when forced.
 
-    if force or not exists(spark, path):
-        compute().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    The holdout is looked at once: of drivers that race for it, one computes and the others read.
+    """
+    rounds = stamps.rounds(spark, path)
+    return stamps.computed_once(spark, f"{path}/round-{rounds if force else max(rounds - 1, 0)}", compute, lease)
 
 
 def coefficients(rows: DataFrame, features: Sequence[str], target: str, config: dict | None = None) -> DataFrame:
@@ -281,36 +285,54 @@ def half_year(anchor: str = "anchor") -> Column:
     return F.year(anchor) * 10 + (F.month(anchor) > 6).cast("int")
 
 
+def bootstrap_draws(halves: Sequence[int], replicates: int, seed: int = 0) -> list[dict[int, int]]:
+    """How often each half-year counts in each replicate: as many draws with replacement as there are half-years."""
+    rng = random.Random(seed)
+    return [dict(Counter(rng.choice(halves) for _ in halves)) for _ in range(replicates)]
+
+
+def bootstrap_fits(rows: DataFrame, target: str, replicates: int = K.BOOTSTRAP_REPLICATES, config: dict | None = None, seed: int = 0) -> list[batchfit.Fit]:
+    """One fit per replicate: a half-year drawn k times counts k times, in preprocessing and fit alike."""
+    months = {r["month"]: r["half"] for r in rows.where(F.col(target).isNotNull()).select(F.col("anchor").cast("string").alias("month"), half_year().alias("half")).distinct().collect()}
+    draws = bootstrap_draws(sorted(set(months.values())), replicates, seed)
+    return [batchfit.Fit(f"r{i}", target, {m: d[h] for m, h in months.items() if h in d}, **(config or K.ELASTIC_NET)) for i, d in enumerate(draws)]
+
+
 def bootstrap_signs(rows: DataFrame, features: Sequence[str], target: str, replicates: int = K.BOOTSTRAP_REPLICATES,
                     config: dict | None = None, seed: int = 0) -> DataFrame:
-    """(feature, stability): share of the dominant coefficient sign over resampled half-years.
+    """(feature, stability): share of the dominant coefficient sign over resampled half-years; all replicates share each scan."""
+    fitted = batchfit.fit_all(rows, features, bootstrap_fits(rows, target, replicates, config, seed))
+    signs = np.sign([f.coefficients for f in fitted])
+    pairs = [(f, float(max((signs[:, i] > 0).sum(), (signs[:, i] < 0).sum()) / max(replicates, 1))) for i, f in enumerate(features)]
+    return rows.sparkSession.createDataFrame(pairs, "feature string, stability double")
 
-    A replicate draws half-years with replacement; a half-year drawn k times weighs k.
-    """
-    import random
 
-    labelled = cut_lineage(rows.where(F.col(target).isNotNull()).withColumn("_half", half_year()))
-    halves = sorted(r[0] for r in labelled.select("_half").distinct().collect())
-    rng = random.Random(seed)
-    tally = {f: [0, 0] for f in features}
-    used = 0
-    for _ in range(replicates):
-        drawn = [rng.choice(halves) for _ in halves]
-        counts = F.lit(0)
-        for h in set(drawn):
-            counts = F.when(F.col("_half") == h, drawn.count(h)).otherwise(counts)
-        # Repeats enter preprocessing and fit alike, so rows are expanded by their multiplicity.
-        sample = labelled.withColumn("_k", counts).where(F.col("_k") > 0).withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_k"))))
-        used += 1
-        if sample.select(target).distinct().count() < 2:
-            continue
-        pre = Preprocessor.fit(sample, features)
-        model = fit_elastic_net(cut_lineage(pre.vectors(sample, [target])), target, **(config or K.ELASTIC_NET))
-        for f, c in zip(features, model.coefficients):
-            tally[f][0] += int(c > 0)
-            tally[f][1] += int(c < 0)
-    pairs = [(f, max(a, b) / max(used, 1)) for f, (a, b) in tally.items()]
-    return rows.sparkSession.createDataFrame(pairs, "feature string, stability double")
+def fold_fits(rows: DataFrame, targets: dict[str, str], settings: Sequence[dict], blocks=K.FOLD_BLOCKS, model_start: str = K.MODEL_START,
+              horizon: int = 36) -> tuple[list[batchfit.Fit], list[dict[str, int]]]:
+    """A fit per (target, setting, block) on the block's early training months, and the months that it is tested on."""
+    calendar = cut_lineage(cv.fold_roles(rows.select("anchor").distinct(), blocks, model_start, horizon))
+    early = cv.calibration_roles(calendar.where("role = 'train'"), ["block"]).where("fit_role = 'fit'")
+    months: dict[tuple[str, str], dict[str, int]] = {}
+    for r in early.select("block", "role", "anchor").union(calendar.where("role = 'test'").select("block", "role", "anchor")).collect():  # months x blocks
+        months.setdefault((r["block"], r["role"]), {})[str(r["anchor"])] = 1
+    fits, tests = [], []
+    for name, column in targets.items():
+        for i, setting in enumerate(settings):
+            for block, _, _ in blocks:
+                fits.append(batchfit.Fit(f"{name}|{i}|{block}", column, months.get((block, "train"), {}), **setting))
+                tests.append(months.get((block, "test"), {}))
+    return fits, tests
+
+
+def shared_folds(rows: DataFrame, features: Sequence[str], targets: dict[str, str], settings: Sequence[dict], blocks=K.FOLD_BLOCKS,
+                 model_start: str = K.MODEL_START, horizon: int = 36) -> DataFrame:
+    """Out-of-sample scores (fund_id, anchor, target, setting, block, y, p) of all folds, targets and settings from shared scans."""
+    fits, tests = fold_fits(rows, targets, settings, blocks, model_start, horizon)
+    scored = batchfit.scores(rows, features, batchfit.fit_all(rows, features, fits), tests, ["fund_id", "anchor", *targets.values()])
+    part = F.split("fit", "\\|")
+    own = F.coalesce(*[F.when(part[0] == name, F.col(column).cast("boolean")) for name, column in targets.items()])
+    named = scored.select("fund_id", "anchor", part[0].alias("target"), part[1].cast("int").alias("setting"), part[2].alias("block"), own.alias("y"), "p")
+    return named.where(F.col("y").isNotNull())
 
 
 def model_artifact(rows: DataFrame, features: Sequence[str], targets: dict[str, str], model_id: str,

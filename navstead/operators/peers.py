@@ -91,23 +91,24 @@ def benchmark_name(category: Column | str, sector: Column | str) -> Column:
 
 
 def forward_returns(
-    series: DataFrame, pairs: DataFrame, key: str, value: str, years: int = K.FORWARD_YEARS,
+    series: DataFrame, pairs: DataFrame, key: str, value: str, months: int = 12 * K.FORWARD_YEARS,
     min_years: float = K.MIN_FORWARD_YEARS, out: str = "r_fwd",
 ) -> DataFrame:
-    """Annualised return from each anchor to the anchor plus ``years``; unmeasurable pairs drop."""
+    """Annualised return from each anchor to the anchor plus ``months``; unmeasurable pairs drop."""
     ends = read_offsets(series, pairs, key, "anchor",
-                        {"d0": F.col("anchor"), "d1": F.add_months("anchor", 12 * years)}, [value])
+                        {"d0": F.col("anchor"), "d1": F.add_months("anchor", months)}, [value])
     span = years_between(F.col("d1.dt"), F.col("d0.dt"))
     ratio = safe_divide(F.col(f"d1.{value}"), F.col(f"d0.{value}"))
     ok = (F.col(f"d0.{value}") > 0) & (span >= min_years)
     return ends.select(key, "anchor", F.when(ok, growth_rate(ratio, span)).alias(out)).where(F.col(out).isNotNull())
 
 
-def real_index_forward(bench: DataFrame, meta: DataFrame, anchors: DataFrame, names: DataFrame) -> DataFrame:
+def real_index_forward(bench: DataFrame, meta: DataFrame, anchors: DataFrame, names: DataFrame, months: int = 12 * K.FORWARD_YEARS,
+                       min_years: float = K.MIN_FORWARD_YEARS) -> DataFrame:
     """(name, anchor, bench_fwd, bench_source) for indices that have a usable series."""
     usable = meta.where((F.col("source") != "NONE") & F.col("return_type").isin("fund_NAV", "PRI"))
     pairs = names.join(usable.select("name"), "name", "left_semi").select("name", "anchor").distinct()
-    fwd = forward_returns(bench.join(usable.select("name"), "name", "left_semi"), pairs, "name", "level", out="_r")
+    fwd = forward_returns(bench.join(usable.select("name"), "name", "left_semi"), pairs, "name", "level", months, min_years, "_r")
     price_only = F.col("return_type") == "PRI"
     return fwd.join(usable, "name").select(
         "name", "anchor",

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.ranking import auc
-from ..operators import cv, evaluation, factors, inference, isotonic, labels, model
-from ..session import stored
+from ..operators import batchfit, cv, evaluation, factors, inference, isotonic, model
+from ..session import shared_folder, stored
 from ..sources import scans
 from . import fixtures as X
 from . import panel_queries as P
 from .oracle import define, r6, sql
 from .registry import query, rounded
 
-BLOCKS, START, HORIZON = X.DERIVED_BLOCKS, "1996-01-31", 3
+BLOCKS, START, HORIZON = X.DERIVED_BLOCKS, "1996-01-31", P.SHORT_MONTHS  # as far as the labels look
 TRAIN_END, TEST = "1997-06-30", ("1998-03-31", "1998-10-31")
 USED = tuple(K.FEATURES)
 
@@ -22,17 +24,17 @@ USED = tuple(K.FEATURES)
 @stored
 def training(spark, sf):
     """Labels with cohort targets beside the feature panel."""
-    return scans.join_training(P.panel(spark, sf), labels.with_cohort_targets(P.label_rows(spark, sf)), START)
+    return scans.join_training(P.panel(spark, sf), P.short_cohort_rows(spark, sf), START)
 
 
 _feats = ", ".join(f"p.{c}" for c in K.FEATURES)
-define("train", f"SELECT l.*, {_feats} FROM labc l JOIN panel p USING (fund_id, anchor)", "labc", "panel")
+define("train", f"SELECT l.*, {_feats} FROM short_labc l JOIN panel p USING (fund_id, anchor)", "short_labc", "panel")
 _num = ", ".join(f"{r6(c)} {c}" for c in ("r_fwd", "cagr_1y", "vol_1y", "rank_3y", "z_cagr_1y"))
 
 
 @query("feature_label_join", sql(f"SELECT fund_id, anchor, gkey, y, y_cohort_q1, y_cohort_top_half, {_num} FROM train WHERE y_cohort_q1 IS NOT NULL", "train"))
 def _(spark, sf):
-    out = scans.join_training(P.panel(spark, sf), labels.with_cohort_targets(P.label_rows(spark, sf)), START, cohort_only=True)
+    out = scans.join_training(P.panel(spark, sf), P.short_cohort_rows(spark, sf), START, cohort_only=True)
     return rounded(out.select("fund_id", "anchor", "gkey", "y", "y_cohort_q1", "y_cohort_top_half", "r_fwd", "cagr_1y", "vol_1y", "rank_3y", "z_cagr_1y"))
 
 
@@ -47,11 +49,11 @@ def purge(s: str, e: str, h: int = HORIZON) -> str:
 
 define("folds", f"""
   SELECT l.fund_id, l.anchor, b.block, CASE WHEN anchor BETWEEN s AND e THEN 'test' ELSE 'train' END role
-  FROM lab l, (VALUES {_vals}) b(block, s, e) WHERE anchor BETWEEN s AND e OR {purge('s', 'e')}""", "lab")
+  FROM short_lab l, (VALUES {_vals}) b(block, s, e) WHERE anchor BETWEEN s AND e OR {purge('s', 'e')}""", "short_lab")
 
 
 def keys(spark, sf):
-    return P.label_rows(spark, sf).select("fund_id", "anchor")
+    return P.short_label_rows(spark, sf).select("fund_id", "anchor")
 
 
 @query("purged_fold_roles", sql("SELECT * FROM folds", "folds"))
@@ -73,8 +75,8 @@ def _(spark, sf):
 
 
 @query("causal_holdout_roles", sql(f"""
-  SELECT fund_id, anchor, CASE WHEN anchor BETWEEN DATE '{TEST[0]}' AND DATE '{TEST[1]}' THEN 'test' ELSE 'train' END role FROM lab
-  WHERE anchor BETWEEN DATE '{TEST[0]}' AND DATE '{TEST[1]}' OR (anchor <= DATE '{TRAIN_END}' AND {purge(f"DATE '{TEST[0]}'", f"DATE '{TEST[1]}'")})""", "lab"))
+  SELECT fund_id, anchor, CASE WHEN anchor BETWEEN DATE '{TEST[0]}' AND DATE '{TEST[1]}' THEN 'test' ELSE 'train' END role FROM short_lab
+  WHERE anchor BETWEEN DATE '{TEST[0]}' AND DATE '{TEST[1]}' OR (anchor <= DATE '{TRAIN_END}' AND {purge(f"DATE '{TEST[0]}'", f"DATE '{TEST[1]}'")})""", "short_lab"))
 def _(spark, sf):
     return cv.holdout_roles(keys(spark, sf), TRAIN_END, TEST, START, HORIZON)
 
@@ -182,6 +184,20 @@ def _(spark, sf):
 HEADS = ("pooled_auc", "rank_auc", "top_decile_precision", "lift_over_base", "bottom_decile_neg_capture")
 
 
+@query("holdout_evaluated_once", sql(f"SELECT block, n, {r6('pooled_auc')} pooled_auc, 1 n_stamps, 1 n_computed FROM bmet WHERE block = 'B5'", "bmet"))
+def _(spark, sf):
+    """Three drivers ask for the verdict on the last block; one computes it, the others read it."""
+    path, computed = f"{shared_folder(spark)}/holdout-{uuid.uuid4().hex}", []
+
+    def compute():
+        computed.append(1)
+        return evaluation.block_metrics(scored(spark, sf).where(F.col("block") == "B5"), ["block"]).select("block", "n", "pooled_auc")
+
+    seen = [model.evaluate_once(spark, path, compute) for _ in range(3)]
+    every = seen[0].union(seen[1]).union(seen[2])
+    return rounded(every.groupBy("block", "n", "pooled_auc").agg(F.countDistinct("stamp_owner").cast("int").alias("n_stamps")).withColumn("n_computed", F.lit(len(computed))))
+
+
 @query("mean_over_folds", sql("SELECT 'fixed' model, " + ", ".join(f"{r6(f'AVG({c})')} mean_{c}" for c in HEADS) + " FROM bmet", "bmet"))
 def _(spark, sf):
     met = evaluation.block_metrics(scored(spark, sf), ["block"]).withColumn("model", F.lit("fixed"))
@@ -279,11 +295,55 @@ def _(spark, sf):
     return rounded(evaluation.block_metrics(preds, ["target", "model", "block"]))
 
 
+TARGETS = {"or_label": "y", "cond_a": "cond_a", "cond_b": "cond_b", "cohort_q1": "y_cohort_q1", "cohort_top_half": "y_cohort_top_half"}
+_each = " UNION ALL ".join(f"SELECT '{name}' target, block, COUNT({c}) n, COUNT(*) FILTER ({c}) positives FROM u GROUP BY block" for name, c in TARGETS.items())
+
+
+# A fit has no value in SQL, but its optimum has a condition: zero lies in the subgradient of the penalised loss.
+@query("fold_fit_optimality", sql(f"""
+  WITH m AS (SELECT block, LIST(DISTINCT anchor ORDER BY anchor) a FROM folds WHERE role = 'train' GROUP BY 1),
+  c AS (SELECT block, CASE WHEN len(a) > 4 THEN a[CAST(ceil(len(a)*0.75) AS INTEGER) + 1] ELSE a[-1] END cut FROM m),
+  u AS (SELECT f.block, t.* FROM folds f JOIN c USING (block) JOIN train t USING (fund_id, anchor) WHERE f.role = 'train' AND f.anchor < c.cut)
+  SELECT target, block, n, positives, positives BETWEEN 1 AND n - 1 optimal FROM ({_each})""", "folds", "train"))
+def _(spark, sf):
+    """All five targets on all folds, fitted together."""
+    rows = training(spark, sf)
+    fits, _ = model.fold_fits(rows, TARGETS, [K.ELASTIC_NET], BLOCKS, START, HORIZON)
+    got = [(*f.fit.name.split("|")[::2], int(f.n), int(f.positives), f.violation <= batchfit.TOLERANCE) for f in batchfit.fit_all(rows, FITTED, fits)]
+    return spark.createDataFrame(got, "target string, block string, n bigint, positives bigint, optimal boolean")
+
+
+@query("fold_grid_auc")
+def _(spark, sf):
+    """Mean fold AUC of every target under every setting of the grid: reported, never selected from."""
+    preds = model.shared_folds(training(spark, sf), FITTED, TARGETS, [K.ELASTIC_NET, *K.ELASTIC_NET_GRID], BLOCKS, START, HORIZON)
+    aucs = evaluation.pooled_auc(preds, ["target", "setting", "block"])
+    return rounded(aucs.groupBy("target", "setting").agg(F.avg("pooled_auc").alias("mean_pooled_auc"), F.count("pooled_auc").alias("n_folds")), 4)
+
+
+HALVES = [y * 10 + h for y in (1996, 1997, 1998) for h in (0, 1)]  # of the derived anchors
+_drawn = ", ".join(f"('r{i}', {h}, {k})" for i, d in enumerate(model.bootstrap_draws(HALVES, K.BOOTSTRAP_REPLICATES)) for h, k in d.items())
+
+
+@query("bootstrap_fit_optimality", sql(f"""
+  SELECT r replicate, CAST(SUM(k) AS BIGINT) n, CAST(SUM(CASE WHEN y_cohort_q1 THEN k ELSE 0 END) AS BIGINT) positives, TRUE optimal
+  FROM train JOIN (VALUES {_drawn}) d(r, h, k) ON h = year(anchor)*10 + CAST(month(anchor) > 6 AS INTEGER) WHERE y_cohort_q1 IS NOT NULL GROUP BY 1""", "train"))
+def _(spark, sf):
+    rows = training(spark, sf)
+    fitted = batchfit.fit_all(rows, FITTED, model.bootstrap_fits(rows, "y_cohort_q1"))
+    got = [(f.fit.name, int(f.n), int(f.positives), f.violation <= batchfit.TOLERANCE) for f in fitted]
+    return spark.createDataFrame(got, "replicate string, n bigint, positives bigint, optimal boolean")
+
+
+@query("coefficient_sign_stability")
+def _(spark, sf):
+    return rounded(model.bootstrap_signs(training(spark, sf), FITTED, "y_cohort_q1"), 4)
+
+
 @query("boosted_tree_holdout")
 def _(spark, sf):
     roles = cv.holdout_roles(training(spark, sf), TRAIN_END, TEST, START, HORIZON)
-    config = {**K.BOOSTED_TREES, "iterations": 20}
-    fold = model.run_fold(roles.where("role = 'train'"), roles.where("role = 'test'"), FITTED, "y_cohort_q1", "trees", config,
+    fold = model.run_fold(roles.where("role = 'train'"), roles.where("role = 'test'"), FITTED, "y_cohort_q1", "trees", dict(K.BOOSTED_TREES),
                           {"target": "cohort_q1", "model": "trees", "block": "HOLDOUT"})
     return rounded(fold.metrics)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -9,7 +11,7 @@ from ..functions.ranking import group_quantiles, loo_median, with_percentile_ran
 from ..operators import features, labels, peers, series
 from ..session import stored
 from . import fixtures as X
-from .oracle import define, r6, sql
+from .oracle import CTES, define, r6, sql
 from .registry import query, rounded
 
 D = X.OBS_PER_YEAR
@@ -79,6 +81,18 @@ define("labc", """
   FROM lab WINDOW c AS (PARTITION BY anchor, gkey)""", "lab")
 
 
+#: Labels for the fold queries: the derived anchors span three years, so these look six months ahead and folds purge six.
+SHORT_MONTHS, SHORT_YEARS = 6, 0.45
+for _name, _needs in (("fwd", ("nav", "pairs")), ("bench_fwd", ("bench", "bpairs", "bench_meta")), ("peer_med", ("short_fwd", "gkeys")),
+                      ("lab", ("short_peer_med", "gkeys", "short_bench_fwd")), ("labc", ("short_lab",))):
+    _body = CTES[_name][1].replace("INTERVAL 36 MONTH", f"INTERVAL {SHORT_MONTHS} MONTH").replace(">= 2.75", f">= {SHORT_YEARS}")
+    for _table in ("fwd", "bench_fwd", "peer_med", "lab"):
+        _body = re.sub(rf"(FROM|JOIN) {_table}\b", rf"\1 short_{_table}", _body)
+    if _name == "labc":  # equal returns of the derived funds differ in their last digits from engine to engine
+        _body = _body.replace("FROM short_lab ", "FROM (SELECT * REPLACE (round(r_fwd, 9) AS r_fwd) FROM short_lab) ")
+    define(f"short_{_name}", _body, *_needs)
+
+
 @query("peer_group_keys", sql("SELECT fund_id, group_kind, gkey FROM gkeys", "gkeys"))
 def _(spark, sf):
     return peers.with_group_key(X.manifest(spark, sf)).select("fund_id", "group_kind", "gkey")
@@ -132,6 +146,17 @@ def label_rows(spark, sf):
         X.fund_bench(spark, sf))
 
 
+@stored
+def short_label_rows(spark, sf):
+    return labels.build_labels(
+        X.nav(spark, sf), X.manifest(spark, sf), X.fund_anchors(spark, sf), X.bench(spark, sf), X.bench_meta(spark, sf),
+        X.fund_bench(spark, sf), SHORT_MONTHS, SHORT_YEARS)
+
+
+def short_cohort_rows(spark, sf):
+    return labels.with_cohort_targets(short_label_rows(spark, sf).withColumn("r_fwd", F.round("r_fwd", 9)))
+
+
 LABEL_COLS = ("fund_id, scheme_name, category, sector, anchor, anchor_year, gkey, cond_b, benchmark_source, benchmark_quality, cond_a, "
               "benchmark_quality_peer, cond_a_peer, y, y_peer, "
               f"{r6('r_fwd')} r_fwd, {r6('benchmark_fwd')} benchmark_fwd, {r6('benchmark_fwd_peer')} benchmark_fwd_peer")

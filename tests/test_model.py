@@ -1,10 +1,13 @@
+import threading
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from navstead import constants as K
 from navstead.operators import cv, evaluation, inference, isotonic, model
-from navstead.sources import scans
+from navstead.sources import scans, stamps
 
 
 @pytest.fixture(scope="module")
@@ -159,6 +162,40 @@ def test_fold_run_and_stamp(spark, data, tmp_path):
     assert len(calls) == 2
 
 
+def test_racing_sessions_compute_once(spark, tmp_path):
+    """Four sessions ask at the same moment: one computes, all read its stamp."""
+    calls, got, gate = [], [], threading.Barrier(4)
+
+    def driver(i):
+        own = spark.newSession()
+
+        def compute():
+            calls.append(i)
+            time.sleep(1.0)
+            return own.range(3).withColumn("by", F.lit(i))
+
+        gate.wait()
+        got.append({(r.by, r.stamp_owner, r.stamp_claim) for r in model.evaluate_once(own, str(tmp_path / "race"), compute).collect()})
+
+    threads = [threading.Thread(target=driver, args=(i,)) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(calls) == 1 and len(got) == 4 and all(g == got[0] and len(g) == 1 for g in got)
+
+
+def test_a_lost_driver_gives_way_after_its_lease(spark, tmp_path):
+    path = str(tmp_path / "lost")
+    assert stamps.Stamp(spark, f"{path}/round-0").claim(0)  # and never publishes
+    row = model.evaluate_once(spark, path, lambda: spark.range(1), lease=0.5).first()
+    assert row.stamp_claim == 1
+    with pytest.raises(ZeroDivisionError):
+        model.evaluate_once(spark, path, lambda: 1 / 0, force=True)
+    assert model.evaluate_once(spark, path, lambda: spark.range(2), force=True).count() == 2  # a failed claim is released
+    assert model.evaluate_once(spark, path, lambda: 1 / 0).count() == 2
+
+
 def test_sensitivity_grid_reports_each_setting(data):
     rows, _, _ = data
     grids = {"enet": K.ELASTIC_NET_GRID[:2], "trees": ({**K.BOOSTED_TREES, "iterations": 3},)}
