@@ -9,6 +9,7 @@ sum at its start.  No row is repeated for overlapping windows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -266,3 +267,21 @@ def feature_panel(nav: DataFrame, manifest: DataFrame, pairs: DataFrame, days: i
     wanted = pairs.select("fund_id", "anchor").distinct().join(nav.select("fund_id").distinct(), "fund_id", "left_semi")
     rows = cut_lineage(feature_rows(nav, manifest, wanted, days))
     return with_z_scores(with_peer_rank(rows), cross_section_stats(rows)).select("fund_id", "anchor", "gkey", *K.FEATURES)
+
+
+def lookahead_differences(build: Callable[[DataFrame], DataFrame], nav: DataFrame, until: Column, digits: int = 9) -> DataFrame:
+    """(fund_id, anchor, columns) of rows that change when only prices after ``until`` do: none, if nothing looks ahead.
+
+    ``build`` makes rows (fund_id, anchor, numbers) from prices.  It runs on the given prices and on prices
+    whose future is another one, and rows up to ``until`` are compared by a hash of their rounded numbers;
+    ``columns`` names what differs.  A row that only one of the two has differs as a whole.
+    """
+    factor = 1 + (F.pmod(F.xxhash64("fund_id", "dt"), F.lit(97)) + 1) / 50.0  # no price stays
+    other = nav.withColumn("nav", F.when(F.col("dt") > until, F.col("nav") * factor).otherwise(F.col("nav")))
+    known, changed = (build(prices).where(F.col("anchor") <= until) for prices in (nav, other))
+    names = [c for c, kind in known.dtypes if kind == "double"]
+    sides = [df.select("fund_id", "anchor", *[(F.round(c, digits) + 0.0).alias(c) for c in names]) for df in (known, changed)]
+    a, b = (df.select("fund_id", "anchor", F.xxhash64(*names).alias(f"_h{i}"), F.struct(*names).alias(f"_r{i}")) for i, df in enumerate(sides))
+    both = a.join(b, ["fund_id", "anchor"], "full_outer").where(~F.col("_h0").eqNullSafe(F.col("_h1")))
+    moved = F.array_compact(F.array(*[F.when(~F.col(f"_r0.{c}").eqNullSafe(F.col(f"_r1.{c}")), F.lit(c)) for c in names]))
+    return both.select("fund_id", "anchor", moved.alias("columns"))

@@ -325,6 +325,23 @@ def _(spark, sf):
     return rounded(panel(spark, sf))
 
 
+@query("lookahead_audit", sql("""
+  SELECT COUNT(*) n_rows, CAST(0 AS BIGINT) n_differing, COUNT(*) n_leaks_caught FROM panel WHERE anchor <= DATE '1997-06-30'""", "panel"))
+def _(spark, sf):
+    """No feature moves with prices after mid 1997; one that reads the last price of all is caught on every row."""
+    nav, until = X.nav(spark, sf), F.lit("1997-06-30").cast("date")
+    early = X.fund_anchors(spark, sf).where(F.col("anchor") <= until)
+    rows = features.lookahead_differences(lambda prices: features.feature_panel(prices, X.manifest(spark, sf), early, D), nav, until)
+
+    def leaking(prices):
+        last = prices.groupBy("fund_id").agg(F.max_by("nav", "dt").alias("leak"))
+        return panel(spark, sf).select("fund_id", "anchor").join(last, "fund_id")
+
+    total = panel(spark, sf).where(F.col("anchor") <= until).agg(F.count(F.lit(1)).alias("n_rows"))
+    differing, caught = (df.agg(F.count(F.lit(1))).scalar() for df in (rows, features.lookahead_differences(leaking, nav, until)))
+    return total.withColumn("n_differing", differing).withColumn("n_leaks_caught", caught)
+
+
 @query("own_and_peer_features", sql("SELECT fund_id, anchor, " + ", ".join(f"{r6(c)} {c}" for c in (
     "cagr_1y", "cagr_3y", "cagr_5y", "vol_1y", "vol_3y", "sharpe_3y", "sortino_3y", "mom_6m", "mom_12m_ex1m", "rr3y_neg_share", "age_years",
     "beta_3y", "te_3y", "ir_3y", "upcap_3y", "downcap_3y", "excess_1y", "excess_3y", "excess_persist")) + " FROM base", "base"))
