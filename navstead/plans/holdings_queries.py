@@ -202,11 +202,14 @@ define("snaps", """
 
 @query("nearest_snapshots", sql("""
   SELECT m.fund_id, l.label, s.as_of, s.as_of IS NOT NULL available
-  FROM manifest m CROSS JOIN (VALUES ('t-5y'), ('t-3y'), ('current')) l(label) LEFT JOIN snaps s ON s.fund_id = m.fund_id AND s.label = l.label AND CAST(m.fund_id AS BIGINT) % 9 <> 4""", "manifest", "snaps"))
+  FROM (SELECT fund_id FROM manifest UNION ALL SELECT DISTINCT 'new ' || amc FROM manifest WHERE amc IS NOT NULL) m
+  CROSS JOIN (VALUES ('t-5y'), ('t-3y'), ('current')) l(label) LEFT JOIN snaps s ON s.fund_id = m.fund_id AND s.label = l.label""", "manifest", "snaps"))
 def _(spark, sf):
-    """Every ninth fund has published nothing."""
-    books = X.holdings(spark, sf).where(F.col("fund_id").cast("bigint") % 9 != 4).select("fund_id", "as_of").distinct()
-    return holdings.snapshots(books, F.lit(X.TODAY), X.manifest(spark, sf))
+    """All books; a new fund of each house has published nothing."""
+    listed = X.manifest(spark, sf)
+    new = listed.where(F.col("amc").isNotNull()).select(F.concat(F.lit("new "), "amc").alias("fund_id")).distinct()
+    books = X.holdings(spark, sf).select("fund_id", "as_of").distinct()
+    return holdings.snapshots(books, F.lit(X.TODAY), listed.select("fund_id").union(new))
 
 
 @query("active_share", sql(f"""
