@@ -13,8 +13,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among the neighbours and then the label of that label, so
     rounds grow with the logarithm of a component's width.  Labels are written between rounds.
+    Both directions come from one reading of ``edges``: rows that depend on an order (stars of a group)
+    may differ when they are computed again, and a link known in one direction alone would be lost.
     """
-    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).where(F.col("a") != F.col("b")).distinct())
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut_lineage(edges.where(F.col("a") != F.col("b")).select(F.inline(ways)).distinct())
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))

@@ -244,7 +244,7 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
                 found = []
         yield edge_batch(found)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(meet, EDGES)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(meet, EDGES)  # one order, so one star
 
 
 class PrefixTree:
@@ -334,7 +334,7 @@ def joined_blocks(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
         yield edge_batch([])
 
     chosen = rows.select(*keys, "doc_id", "built", "tokens")
-    return chosen.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, EDGES)
+    return chosen.repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(join, EDGES)
 
 
 def chunked(rows: DataFrame, group: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +257,18 @@ def test_components_take_the_smallest_node(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_edges_that_change_when_computed_again(spark):
+    def stars(batches):
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            center = random.SystemRandom().choice(ids.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), center))], names=["a", "b"])
+
+    for _ in range(3):
+        got = graph.components(spark.range(0, 400, 1, 4).mapInArrow(stars, "a long, b long")).collect()
+        assert {(r.node, r.component) for r in got} == {(i, i // 100 * 100) for i in range(400)}
+
+
 # --- language
 def test_language_id(spark, empty):
     rng = random.Random(4)
