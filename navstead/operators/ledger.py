@@ -110,9 +110,10 @@ def realize(due: DataFrame, nav: DataFrame, members: DataFrame | None = None) ->
         F.col("r_fwd").alias("own_r_fwd"), n.cast("int").alias("n_peer_r_fwd"), "probability", "cohort_percentile")
 
 
-def realize_matured(predictions: DataFrame, realizations: DataFrame, superseded: DataFrame, nav: DataFrame, today: Column) -> DataFrame:
+def realize_matured(predictions: DataFrame, realizations: DataFrame, superseded: DataFrame, nav: DataFrame, today: Column,
+                    members: DataFrame | None = None) -> DataFrame:
     open_rows = matured(pending(predictions, realizations, superseded), today)
-    return realize(open_rows.where("is_matured").drop("is_matured"), nav)
+    return realize(open_rows.where("is_matured").drop("is_matured"), nav, members)
 
 
 def current_model(predictions: DataFrame, superseded: DataFrame) -> DataFrame:

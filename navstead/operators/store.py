@@ -80,11 +80,19 @@ class LedgerStore:
         self._write(fresh.select(*self._known(fresh, self.schema), MONTH), "predictions")
         return months
 
-    def load(self, rows: DataFrame) -> None:
-        """Take over exchanged rows with ``cohort_codes`` as they are, copies and all; ``compact`` follows."""
-        named = cut_lineage(rows.withColumn(MONTH, month_of()).withColumn("cohort_id", cohorts.id_of_codes("cohort_codes")))
-        lists = named.where(F.col("cohort_id").isNotNull()).groupBy(MONTH, "cohort_id").agg(F.any_value("cohort_codes").alias("codes"))
-        self._write(lists.select("cohort_id", F.explode("codes").alias("fund_id"), MONTH), "members")
+    def load(self, rows: DataFrame, members: DataFrame | None = None) -> None:
+        """Take over exchanged rows as they are, copies and all; ``compact`` follows.
+
+        Rows bring their lists as ``cohort_codes``, or name them by ``cohort_id`` with ``members`` (cohort_id, fund_id) beside them.
+        """
+        named = rows.withColumn(MONTH, month_of())
+        named = cut_lineage(named if members is not None else named.withColumn("cohort_id", cohorts.id_of_codes("cohort_codes")))
+        lists = named.where(F.col("cohort_id").isNotNull()).groupBy(MONTH, "cohort_id")
+        if members is None:
+            brought = lists.agg(F.any_value("cohort_codes").alias("codes")).select("cohort_id", F.explode("codes").alias("fund_id"), MONTH)
+        else:
+            brought = lists.agg(F.lit(1).alias("_one")).drop("_one").join(members.select("cohort_id", "fund_id").distinct(), "cohort_id").select("cohort_id", "fund_id", MONTH)
+        self._write(brought, "members")
         self._write(named.select(*self._known(named, self.schema), MONTH), "predictions")
 
     def add_realizations(self, rows: DataFrame) -> None:

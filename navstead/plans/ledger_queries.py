@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators import inference, ledger, live, monitoring
+from ..operators import cohorts, inference, ledger, live, monitoring
 from ..session import cut_lineage, stored
 from . import fixtures as X
 from . import model_queries as M
@@ -25,19 +25,27 @@ define("preds", """
 
 @stored
 def predictions(spark, sf):
-    """A fixed score of every fund at every anchor; every fifth fund is logged twice."""
+    """A fixed score of every fund at every anchor, its cohort by id; every fifth fund is logged twice."""
     scored = inference.score(P.panel(spark, sf), M.small_model(spark).where("target = 'cohort_q1'"), list(M.COEF))
-    codes = P.peers.with_group_key(X.manifest(spark, sf)).groupBy("gkey").agg(F.array_sort(F.collect_list("fund_id")).alias("cohort_codes"))
+    named = cohorts.cohort_ids(P.peers.with_group_key(X.manifest(spark, sf)), ["gkey"])
     key = F.col("fund_id").cast("bigint")
     model_id = F.when(F.col("anchor") < "1997-01-01", "m1").when(key % 11 != 0, "m2")
-    base = scored.join(codes, "gkey").select(
+    base = scored.join(named, "gkey").select(
         "fund_id", F.col("target"), F.col("anchor").cast("string").alias("anchor"), model_id.alias("model_id"),
-        F.concat(F.lit("r"), F.date_format("anchor", "yyyyMM")).alias("run_id"), F.round("probability", 9).alias("probability"), "gkey", "cohort_codes")
+        F.concat(F.lit("r"), F.date_format("anchor", "yyyyMM")).alias("run_id"), F.round("probability", 9).alias("probability"), "gkey", "cohort_id",
+        F.lit(None).cast("string").alias("cohort_added"))
     first = base.withColumn("logged_at", F.concat("anchor", F.lit("T00:00:00")))
     again = base.where(key % 5 == 0).withColumn("logged_at", F.concat("anchor", F.lit("T12:00:00")))
     return first.unionByName(again)
 
 
+@stored
+def cohort_members(spark, sf):
+    """(cohort_id, fund_id), each member once: a list in every prediction would grow with the square of the funds."""
+    funds = P.peers.with_group_key(X.manifest(spark, sf)).select("gkey", "fund_id")
+    return funds.join(cohorts.cohort_ids(funds, ["gkey"]), "gkey").select("cohort_id", "fund_id")
+
+
 SHOWN = ("fund_id", "target", "anchor", "model_id", "run_id", "logged_at")
 define("dedup", """
   SELECT * FROM preds WHERE model_id IS NULL
@@ -104,7 +112,7 @@ define("graded", """
 @stored
 def realizations(spark, sf):
     rows = predictions(spark, sf).withColumn("cohort_percentile", F.col("fund_id").cast("bigint") % 100 / 100.0)
-    return ledger.realize_matured(rows, realized_before(spark, sf), retired(spark, sf), X.nav(spark, sf), F.lit(TODAY).cast("date"))
+    return ledger.realize_matured(rows, realized_before(spark, sf), retired(spark, sf), X.nav(spark, sf), F.lit(TODAY).cast("date"), cohort_members(spark, sf))
 
 
 @query("realized_predictions", sql(f"""

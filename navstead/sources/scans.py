@@ -231,6 +231,11 @@ def ledger(spark: SparkSession, path: str, schema: str = PREDICTION) -> DataFram
     return rows.where(F.col("r._corrupt").isNull()).select("r.*").drop("_corrupt")
 
 
+def cohort_members(spark: SparkSession, path: str) -> DataFrame:
+    """(cohort_id, fund_id) of a ledger that names cohorts by id; a file appended to may repeat them."""
+    return ledger(spark, path, "cohort_id string, fund_id string").distinct()
+
+
 def superseded_models(spark: SparkSession, path: str) -> DataFrame:
     """(model_id, superseded_by, reason); an absent or malformed file retires nothing."""
     none = spark.createDataFrame([], "model_id string, superseded_by string, reason string")

@@ -49,5 +49,8 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_ledger(rows: DataFrame, path: str) -> None:
+def append_ledger(rows: DataFrame, path: str, members: DataFrame | None = None, members_path: str | None = None) -> None:
+    """Prediction rows as JSON lines; rows that name their cohort by id have its ``members`` (cohort_id, fund_id) written beside them."""
+    if members is not None:
+        members.write.mode("append").json(members_path)
     rows.write.mode("append").json(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from navstead.operators import cohorts, ledger, monitoring, store
-from navstead.sources import scans
+from navstead.sources import scans, sinks
 from navstead.streaming import ingest
 
 SHAPE = "fund_id string, target string, anchor string, model_id string, run_id string, logged_at string, probability double, cohort_percentile double, cohort_codes array<string>"
@@ -201,3 +201,25 @@ def test_streams(spark, tmp_path):
         stream = spark.readStream.schema(SHAPE).parquet(source)
         ingest.append_predictions(stream, out, str(tmp_path / f"cp{i}")).awaitTermination(120)
     assert store.LedgerStore(spark, out).predictions().count() == 1
+
+
+def test_store_takes_over_rows_that_name_their_cohort_by_id(spark, tmp_path):
+    lists = spark.createDataFrame([("c", "1"), ("c", "2"), ("c", "3"), ("unused", "4")], "cohort_id string, fund_id string")
+    rows = spark.createDataFrame([("1", "t", "2020-01-31", "c"), ("2", "t", "2020-02-29", "c"), ("9", "t", "2020-02-29", None)], "fund_id string, target string, anchor string, cohort_id string")
+    for _ in range(2):
+        sinks.append_ledger(rows, f"{tmp_path}/rows", lists, f"{tmp_path}/members")
+    book = store.LedgerStore(spark, f"{tmp_path}/book")
+    book.load(scans.ledger(spark, f"{tmp_path}/rows", store.STORED), scans.cohort_members(spark, f"{tmp_path}/members"))
+    assert book.predictions().count() == 6
+    assert {(r.anchor_month, r.cohort_id, r.fund_id) for r in book.members().collect()} == {(m, "c", f) for m in ("2020-01", "2020-02") for f in "123"}
+    assert book.members().count() == 6
+
+
+def test_derived_predictions_hold_no_lists(spark, sf):
+    """A list of the whole cohort in each row grows with the square of the funds."""
+    from navstead.plans import ledger_queries
+
+    rows, members = ledger_queries.predictions(spark, sf), ledger_queries.cohort_members(spark, sf)
+    assert not [f.name for f in rows.schema.fields if f.dataType.typeName() in ("array", "map")]
+    assert members.count() == members.select("fund_id").distinct().count()
+    assert rows.join(members, ["cohort_id", "fund_id"], "left_anti").isEmpty()
