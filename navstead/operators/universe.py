@@ -105,6 +105,14 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.flatten(pieces))
 
 
+def by_shuffle(side: DataFrame) -> DataFrame:
+    """A join side that grows with the input: it goes through a shuffle and a sort, never whole through the driver.
+
+    The size check sees compressed files and not what an explode adds, and takes such sides for small ones.
+    """
+    return side.hint("merge")
+
+
 def _token_hits(queries: DataFrame, names: DataFrame) -> DataFrame:
     """Names that contain every query token.
 
@@ -118,9 +126,9 @@ def _token_hits(queries: DataFrame, names: DataFrame) -> DataFrame:
     pieces = asked.select("query_id", F.explode(F.array_distinct(F.flatten(widest))).alias("_gram"))
     indexed = names.withColumn("_up", F.upper("scheme_name")).withColumn("_gram", F.explode(_grams(F.col("_up"))))
     spread = indexed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_df"))
-    rarest = pieces.join(spread, "_gram", "left").groupBy("query_id").agg(
+    rarest = pieces.join(by_shuffle(spread), "_gram", "left").groupBy("query_id").agg(
         F.min_by("_gram", F.struct(F.coalesce("_df", F.lit(0)), F.col("_gram"))).alias("_gram"))
-    hits = asked.join(rarest, "query_id").join(indexed, "_gram")
+    hits = asked.join(by_shuffle(rarest), "query_id").join(by_shuffle(indexed), "_gram")
     return hits.where(F.forall("_toks", lambda t: F.contains(F.col("_up"), t))).drop("_gram", "_toks", "_up")
 
 
@@ -128,13 +136,14 @@ def resolve_curated(queries: DataFrame, manifest: DataFrame) -> DataFrame:
     """(query_id, q) to one manifest fund: code, then exact name, then all tokens; several names refuse."""
     names = manifest.select("fund_id", "scheme_name")
     q = queries.select("query_id", "q")
-    by_code = q.join(names.select("fund_id"), F.trim("q") == F.col("fund_id")).select("query_id", "fund_id", F.lit(1).alias("tier"))
-    by_name = q.join(names, F.upper(F.trim("q")) == F.upper("scheme_name")).select("query_id", "fund_id", F.lit(2).alias("tier"))
+    listed = by_shuffle(names)
+    by_code = q.join(by_shuffle(names.select("fund_id")), F.trim("q") == F.col("fund_id")).select("query_id", "fund_id", F.lit(1).alias("tier"))
+    by_name = q.join(listed, F.upper(F.trim("q")) == F.upper("scheme_name")).select("query_id", "fund_id", F.lit(2).alias("tier"))
     by_tokens = _token_hits(q, names).select("query_id", "fund_id", F.lit(3).alias("tier"))
     counted = by_code.unionByName(by_name).unionByName(by_tokens).groupBy("query_id", "tier").agg(
         F.min("fund_id").alias("fund_id"), F.count(F.lit(1)).alias("n"))
     best = counted.groupBy("query_id").agg(F.min_by(F.struct("tier", "fund_id", "n"), "tier").alias("b"))
-    joined = q.join(best, "query_id", "left")
+    joined = q.join(by_shuffle(best), "query_id", "left")
     status = F.when(F.col("b").isNull(), "NOT_FOUND").when((F.col("b.tier") == 3) & (F.col("b.n") > 1), "AMBIGUOUS").otherwise("RESOLVED")
     return joined.select("query_id", status.alias("status"), F.when(status == "RESOLVED", F.col("b.fund_id")).alias("fund_id"),
                          F.col("b.tier").alias("tier"))
@@ -145,8 +154,9 @@ def resolve_market(queries: DataFrame, master: DataFrame) -> DataFrame:
     names = master.select("fund_id", "isin", "scheme_name", "line_no")
     q = queries.select("query_id", "q")
     up = F.upper(F.trim("q"))
+    listed = by_shuffle(names)
     tiers = [
-        q.join(names, up == F.col("fund_id")), q.join(names, up == F.upper("isin")), q.join(names, up == F.upper("scheme_name")),
+        q.join(listed, up == F.col("fund_id")), q.join(listed, up == F.upper("isin")), q.join(listed, up == F.upper("scheme_name")),
         _token_hits(q, names),
     ]
     hits = None
@@ -160,7 +170,7 @@ def resolve_market(queries: DataFrame, master: DataFrame) -> DataFrame:
     )
     order = F.struct(F.col("tier"), (-score).alias("s"), F.length("scheme_name").alias("l"), F.col("line_no"))
     best = hits.groupBy("query_id").agg(F.min_by(F.struct("fund_id", "scheme_name", "tier"), order).alias("b"))
-    return q.join(best, "query_id", "left").select("query_id", "b.fund_id", "b.scheme_name", "b.tier")
+    return q.join(by_shuffle(best), "query_id", "left").select("query_id", "b.fund_id", "b.scheme_name", "b.tier")
 
 
 def dossiers(resolved: DataFrame, manifest: DataFrame, nav: DataFrame, snapshots: DataFrame, names: DataFrame | None = None) -> DataFrame:

@@ -107,3 +107,20 @@ def test_registry_text_from_disk(spark, tmp_path):
 
 def test_every_rule_category_is_known():
     assert len(K.CATEGORY_RULES) == 19 and len(K.SECTOR_RULES) == 17
+
+
+@pytest.mark.parametrize("resolve", [universe.resolve_curated, universe.resolve_market])
+def test_resolution_sends_no_growing_side_through_the_driver(spark, resolve):
+    """Small files that an explode or a decoded column makes large must not be broadcast by their file size."""
+    names = spark.createDataFrame([("1", "A1", "Alpha Bank Fund", 1), ("2", "A2", "Beta Bank Fund", 2)], "fund_id string, isin string, scheme_name string, line_no long")
+    asked = spark.createDataFrame([(1, "1"), (2, "beta bank fund"), (3, "bank alpha"), (4, "none")], "query_id long, q string")
+    got = resolve(asked, names)
+    assert {r.query_id: r.fund_id for r in got.collect()} == {1: "1", 2: "2", 3: "1", 4: None}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_house_prefixes_send_no_growing_side_through_the_driver(spark):
+    names = spark.createDataFrame([("1", "Alpha Bank Fund"), ("2", "Other Pharma Fund")], "fund_id string, name string")
+    got = curation.strip_house(names, spark.createDataFrame([("Alpha",)], "prefix string"), "fund_id", "name")
+    assert {r.fund_id: r.body for r in got.collect()} == {"1": "Bank Fund", "2": "Other Pharma Fund"}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString().split("LeftOuter")[0].rsplit("\n", 1)[-1]
