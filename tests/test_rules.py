@@ -109,3 +109,16 @@ def test_overlap_days_count_by_existence(spark):
     pairs = spark.createDataFrame([("a", "b")], "fund_id string, other_id string")
     row = holdings.quarterly_overlap(w, pairs).first()
     assert row.overlap == pytest.approx(0.1) and row.n_days == 2
+
+
+def test_sibling_overlap_equals_the_asked_pairs_and_moves_no_pair(spark):
+    w = spark.sql("SELECT string(f) fund_id, date_add(DATE '2024-01-01', int(d)) dt, concat('t', t) ticker, (1 + (f * 7 + d * 3 + t) % 5) / 10D weight "
+                  "FROM range(12) a(f), range(6) b(d), range(4) c(t) WHERE (f + d) % 3 > 0 AND (f + t + d) % 4 > 0")
+    funds = spark.sql("SELECT string(f) fund_id, concat('h', f % 2) amc, element_at(array('Thematic', 'Value', 'Mid Cap', 'Large Cap'), int(f % 4) + 1) category FROM range(12) a(f)")
+    rules = spark.createDataFrame(list(K.CATEGORY_RULES), K.CATEGORY_RULE_SCHEMA)
+    got = holdings.sibling_overlap(w, funds, rules)
+    asked = holdings.daily_overlap(w, holdings.sibling_pairs(funds, rules).select("fund_id", "other_id"))
+    rows = lambda df: sorted((r.fund_id, r.other_id, r.dt, round(r.overlap, 9)) for r in df.collect())
+    assert rows(got) == rows(asked) and len(rows(got)) > 20
+    plan = got._jdf.queryExecution().sparkPlan().toString()  # the join of houses and days is the last step
+    assert "Join" in plan.split("\n")[1]
