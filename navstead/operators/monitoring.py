@@ -27,6 +27,12 @@ def bin_edges(rows: DataFrame, features: Sequence[str] = K.DRIFT_FEATURES, bins:
     return q.where(F.size(cuts) >= 2).select("feature", edges.alias("edges"))
 
 
+def inner_sum(edges: Column | str) -> Column:
+    """Sum of the finite edges; NULL where the infinite ends are all there is."""
+    inner = F.filter(edges, lambda e: F.abs(e) < float("inf"))
+    return F.when(F.size(inner) > 0, F.aggregate(inner, F.lit(0.0), lambda a, x: a + x))
+
+
 def bin_counts(rows: DataFrame, edges: DataFrame, features: Sequence[str] = K.DRIFT_FEATURES) -> DataFrame:
     """(feature, bin, n): right-open bins counted after a join on the feature name alone."""
     values = _long(rows, features).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))

@@ -185,9 +185,7 @@ def reference(spark, sf):
 @query("drift_bin_edges", sql(f"SELECT feature, len(edges) n_edges, {r6('list_sum(edges[2:len(edges) - 1])')} inner_sum FROM edges", "edges"))
 def _(spark, sf):
     e = monitoring.bin_edges(drift_rows(spark, sf), DRIFT)
-    inner = F.slice("edges", F.lit(2), F.size("edges") - 2)
-    total = F.aggregate(inner, F.lit(0.0), lambda a, x: a + x)
-    return rounded(e.select("feature", F.size("edges").cast("bigint").alias("n_edges"), total.alias("inner_sum")))
+    return rounded(e.select("feature", F.size("edges").cast("bigint").alias("n_edges"), monitoring.inner_sum("edges").alias("inner_sum")))
 
 
 @query("drift_reference_bins", sql(f"""

@@ -223,3 +223,10 @@ def test_derived_predictions_hold_no_lists(spark, sf):
     assert not [f.name for f in rows.schema.fields if f.dataType.typeName() in ("array", "map")]
     assert members.count() == members.select("fund_id").distinct().count()
     assert rows.join(members, ["cohort_id", "fund_id"], "left_anti").isEmpty()
+
+
+def test_the_sum_of_no_inner_edges_is_missing(spark):
+    values = spark.createDataFrame([(float(i % 2), float(i)) for i in range(40)], "few double, many double")
+    edges = monitoring.bin_edges(values.unionByName(values.select(F.lit(1.0).alias("few"), "many")), ["few", "many"])
+    got = {r.feature: (len(r.edges), r.total) for r in edges.select("feature", "edges", monitoring.inner_sum("edges").alias("total")).collect()}
+    assert got["few"] == (2, None) and got["many"][0] == 11 and abs(got["many"][1] - 9 * 19.5) < 1e-9
