@@ -133,7 +133,8 @@ def score_live(requests: DataFrame, manifest: DataFrame, nav: DataFrame, master:
     rows = cut_lineage(live_rows(nav, manifest, open_rows.where(~F.col("is_ref")), pairs, days))
     reference, raw = rows.where("is_ref"), rows.where(~F.col("is_ref"))
     stats = feats.cross_section_stats(reference)
-    placed = candidate_percentile(reference, raw, ["gkey", "anchor"], "cagr_3y", "rank_3y", 3)
+    placed = candidate_percentile(*(df.withColumn("_growth", F.round("cagr_3y", feats.RANK_DIGITS)) for df in (reference, raw)),
+                                  ["gkey", "anchor"], "_growth", "rank_3y", 3).drop("_growth")
     panel = feats.with_z_scores(feats.with_peer_rank(reference).unionByName(placed), stats)
     scored = cut_lineage(_scores(panel.select("fund_id", "anchor", "gkey", "is_ref", *K.FEATURES), model, features, target))
     own = open_rows.where("is_ref").select("fund_id", "anchor")
