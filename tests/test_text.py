@@ -124,3 +124,22 @@ def test_house_prefixes_send_no_growing_side_through_the_driver(spark):
     got = curation.strip_house(names, spark.createDataFrame([("Alpha",)], "prefix string"), "fund_id", "name")
     assert {r.fund_id: r.body for r in got.collect()} == {"1": "Bank Fund", "2": "Other Pharma Fund"}
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString().split("LeftOuter")[0].rsplit("\n", 1)[-1]
+
+
+def test_bundled_files_give_the_rows_of_single_files(spark, tmp_path):
+    files = {"7_2020-03.csv": "﻿Weight,Symbol\r\n0.5,\"A, B\"\r\n0.25,C", "8_2020-04.csv": "name,note\nA,x", "9_2020-05.csv": "Type,NAME,weight\nDebt,D,0.1\n\nCash,E,none",
+             "readme.csv": "name,weight\nA,1"}
+    (tmp_path / "single").mkdir()
+    for name, body in files.items():
+        (tmp_path / "single" / name).write_bytes(body.encode())
+    spark.createDataFrame(list(files.items()), "file string, body string").repartition(2).write.parquet(str(tmp_path / "bundled"))
+    single, bundled = scans.disclosures(spark, str(tmp_path / "single")), scans.bundled_disclosures(spark, str(tmp_path / "bundled"))
+    rows = sorted(tuple(r) for r in bundled.select("fund_id", "instrument", "weight", "asset_type").collect())
+    assert rows == [("7", "A, B", 0.5, "equity"), ("7", "C", 0.25, "equity"), ("9", "D", 0.1, "debt")]
+    assert sorted(map(str, single.collect())) == sorted(map(str, bundled.collect()))
+
+
+def test_a_line_is_parsed_once(spark):
+    files = spark.createDataFrame([("7_2020-03.csv", "name,weight\nA,1")], "file string, body string")
+    plan = scans.disclosure_rows(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("from_csv(") <= 2  # the header and a line
