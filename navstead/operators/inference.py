@@ -48,15 +48,13 @@ def calibrate(p: Column, calibration: str = "m.calibration") -> Column:
 def score(rows: DataFrame, model: DataFrame, features: Sequence[str]) -> DataFrame:
     """Every row under every target of the model (one model row per target).
 
-    The model table holds one row per target, so the join repeats rows once per target and
-    carries the model with it; Spark broadcasts it by its own size check.
+    The model table holds one row per target and goes to every task.  A join by target would send all
+    rows of a target to one task: Spark's size check does not know how small a table made by the driver is.
     """
-    holder = model.select("target", "model_id", F.struct(
+    holder = model.where(F.col("target").isNotNull()).select("target", "model_id", F.struct(
         "coefficients", "imputation_medians", "standardize_mean", "standardize_std", "intercept", "calibration").alias("m"),
         F.col("signal_context"))
-    targets = model.agg(F.collect_list("target")).scalar()
-    asked = rows.withColumn("target", F.explode(targets))
-    scored = asked.join(holder, "target").withColumn("p_raw", linear_score(features))
+    scored = rows.drop("target").crossJoin(F.broadcast(holder)).withColumn("p_raw", linear_score(features))
     return scored.withColumn("probability", calibrate(F.col("p_raw"))).drop("m")
 
 

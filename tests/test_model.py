@@ -232,3 +232,17 @@ def test_stored_model_round_trip(spark, data, tmp_path):
     a = inference.score(rows, art, feats).select("fund_id", F.col("probability").alias("p"))
     b = inference.score(rows, back, feats).select("fund_id", F.col("probability").alias("q"))
     assert a.join(b, "fund_id").where(F.abs(F.col("p") - F.col("q")) > 1e-9).count() == 0
+
+
+def test_scoring_does_not_deal_rows_by_target(spark, data):
+    """One target's rows stay in their tasks: a join by target would put all of them into one."""
+    rows, _, _ = data
+    numbers = "map<string,double>"
+    calibration = "struct<kind:string,x:array<double>,y:array<double>,coef:double,intercept:double>"
+    shape = (f"model_id string, target string, signal_context struct<holdout_auc:double,base_rate:double>, imputation_medians {numbers}, standardize_mean {numbers}, "
+             f"standardize_std {numbers}, coefficients {numbers}, intercept double, calibration {calibration}")
+    one = {"a": 1.0}
+    stored = spark.createDataFrame([("m", t, (0.5, 0.5), one, one, one, one, 0.0, ("platt", None, None, 1.0, 0.0)) for t in ("q1", "top", None)], shape)
+    scored = inference.score(rows, stored, ["a"])
+    assert "hashpartitioning(target" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert {r.target: r["count"] for r in scored.groupBy("target").count().collect()} == {"q1": 900, "top": 900}
