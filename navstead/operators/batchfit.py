@@ -68,6 +68,13 @@ def _long(rows: DataFrame, features: Sequence[str], targets: Sequence[str]) -> D
         ["month", *[f"_k{i}" for i in range(len(targets))]], list(features), "feature", "value")
 
 
+def _samples(fits: Sequence[Fit]) -> tuple[list[int], list[Fit]]:
+    """Per fit the place of its rows among the distinct ones: settings of one target and the same months share their medians."""
+    first: dict[tuple, int] = {}
+    place = [first.setdefault((f.target, tuple(sorted((m, w) for m, w in f.months.items() if w))), len(first)) for f in fits]
+    return place, [fits[place.index(k)] for k in range(len(first))]
+
+
 def _statistics(rows: DataFrame, features: Sequence[str], fits: Sequence[Fit]) -> list[Fitted]:
     """Counts, medians, means and deviations of every fit: one scan for the sums, one for the medians."""
     targets = sorted({f.target for f in fits})
@@ -83,11 +90,12 @@ def _statistics(rows: DataFrame, features: Sequence[str], fits: Sequence[Fit]) -
         for i in range(len(targets)):
             table.setdefault((r["month"], i), np.zeros((len(features), 3)))[place[r["feature"]]] = [x or 0.0 for x in r[f"s_{i}"]]
 
-    weights = spark.createDataFrame([(m, [float(f.months.get(m, 0)) for f in fits]) for m in sorted({m for f in fits for m in f.months})], "month string, w array<double>")
+    place_of, samples = _samples(fits)
+    weights = spark.createDataFrame([(m, [float(f.months.get(m, 0)) for f in samples]) for m in sorted({m for f in samples for m in f.months})], "month string, w array<double>")
     counted = cumulative_counts(long.join(weights, "month"), ["feature"], "value", {
-        f"t{j}": F.sum(F.col("w")[j] * F.col(f"_k{targets.index(f.target)}")) for j, f in enumerate(fits)})
+        f"t{j}": F.sum(F.col("w")[j] * F.col(f"_k{targets.index(f.target)}")) for j, f in enumerate(samples)})
     middle = []
-    for j in range(len(fits)):
+    for j in range(len(samples)):
         spot, below = (F.col(f"total_t{j}") - 1) * 0.5, F.col(f"below_t{j}")
         middle += [F.max(F.when((below <= s) & (s < below + F.col(f"t{j}")), v)).alias(f"{name}{j}") for name, s in (("lo", F.floor(spot)), ("hi", F.ceil(spot)))]
     medians = {r["feature"]: r for r in counted.groupBy("feature").agg(*middle).collect()}
@@ -97,7 +105,8 @@ def _statistics(rows: DataFrame, features: Sequence[str], fits: Sequence[Fit]) -
         own = [(m, w) for m, w in f.months.items() if w and m in classes]
         n, positives = (sum(w * classes[m][f"{c}_{i}"] for m, w in own) for c in "np")
         have, s, ss = sum((w * table[m, i] for m, w in own if (m, i) in table), np.zeros((len(features), 3))).T
-        median = np.array([(r[f"lo{j}"] + r[f"hi{j}"]) / 2 if (r := medians.get(x)) is not None and r[f"lo{j}"] is not None else 0.0 for x in features])
+        k = place_of[j]
+        median = np.array([(r[f"lo{k}"] + r[f"hi{k}"]) / 2 if (r := medians.get(x)) is not None and r[f"lo{k}"] is not None else 0.0 for x in features])
         s, ss = s + (n - have) * median, ss + (n - have) * median**2
         mean = s / max(n, 1)
         deviation = np.sqrt(np.maximum(ss - n * mean**2, 0) / max(n - 1, 1))

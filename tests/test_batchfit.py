@@ -99,3 +99,11 @@ def test_shared_folds_purge_and_score(spark, rows):
     by_hand = {(r.fund_id): r.p for r in pre_rows.select("fund_id", (1 / (1 + F.exp(-z))).alias("p")).collect()}
     shared = {r.fund_id: r.p for r in preds.where("target = 't' AND block = 'A'").collect()}
     assert by_hand.keys() == shared.keys() and all(abs(by_hand[k] - shared[k]) < 1e-9 for k in shared)
+
+
+def test_settings_of_the_same_months_share_their_medians():
+    """The table of value counts is as wide as there are samples, however many settings are fitted on them."""
+    months = [{"2015-01-31": 1, "2015-02-28": 1}, {"2015-02-28": 1, "2015-01-31": 1, "2015-03-31": 0}, {"2015-01-31": 2}]
+    fits = [batchfit.Fit(f"{t}{i}{c}", t, m, c, 0.5) for t in ("y", "z") for i, m in enumerate(months) for c in (0.1, 1.0)]
+    place, samples = batchfit._samples(fits)
+    assert place == [0, 0, 0, 0, 1, 1, 2, 2, 2, 2, 3, 3] and [(f.target, f.months) for f in samples] == [(t, m) for t in ("y", "z") for m in (months[0], months[2])]
