@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .graph import components
+from .marks import with_mark
 
 SLOT_BITS, BLOCK_SLOTS = 20, 1024
 CHUNK_SETS, CHUNK_TOKENS, CHUNK_POSTINGS = 1000, 2_000_000, 1024
@@ -392,7 +393,8 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_
             grams = [ordered(ngram_hashes(x.as_py(), n), sketch.value).view(np.int64) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grams, pa.list_(pa.int64()))], names=["cluster", "doc_id", "tokens"])
 
-    chosen = texts.join(clusters, "doc_id").select("cluster", "doc_id", "text")
+    near = with_mark(texts, clusters).where("_listed").drop("_listed")  # the other texts are not shuffled
+    chosen = near.join(clusters, "doc_id").select("cluster", "doc_id", "text")
     links = cluster_links(chosen.mapInArrow(tokens, "cluster long, doc_id long, tokens array<long>"), percent)
     twice = some.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
     member = some.select("doc_id", "digest").join(classes.select("digest", F.col("doc_id").alias("first")), "digest")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from navstead.llm.marks import with_mark
 from navstead.llm.quality import quality_rules
 from navstead.session import cut_lineage
 
@@ -48,3 +49,23 @@ def test_an_empty_table_goes_through(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = cut_lineage(stage(spark, docs, ""))
     assert docs.count() == 0
+
+
+def test_only_texts_that_may_go_are_shuffled(spark):
+    """Without broadcast joins every text used to pass a shuffle by doc_id."""
+    rows = [(i, f"{words(i, 60)} {i}") for i in range(400)] + [(1000 + i, f"{words(i, 60)} {i}") for i in range(5)] + [(None, "no id"), (7, f"{words(7, 60)} 7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marked = with_mark(docs, docs.where("doc_id >= 1000").select("doc_id"))
+    assert {r.doc_id for r in marked.where("_listed").collect()} >= set(range(1000, 1005)) and marked.where("_listed").count() < 10
+    assert marked.count() == len(rows) and marked.where("doc_id IS NULL AND NOT _listed").count() == 1
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        after = corpus_pipeline.near_copy_stage(spark, docs, "")
+        got = sorted((r.doc_id for r in after.collect()), key=str)
+        plan = after._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    component = brute.jaccard_components([(d, t) for d, t in rows if d is not None])
+    assert got == sorted([None, *(d for d in component if component[d] == d)], key=str)
+    assert "LeftSemi" not in plan and "bitmap_construct_agg" in plan
