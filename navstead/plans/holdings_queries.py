@@ -260,7 +260,7 @@ def _(spark, sf):
 @query("quarterly_overlap", sql(f"""
   SELECT fund_id, other_id, CAST(date_trunc('quarter', dt) AS DATE) AS quarter, {r6('AVG(overlap)')} overlap, COUNT(*) n_days FROM dover GROUP BY 1, 2, 3""", "dover"))
 def _(spark, sf):
-    return rounded(holdings.quarterly_means(holdings.sibling_overlap(X.daily_weights(spark, sf), rule_funds(spark, sf), rule_table(spark))))
+    return rounded(holdings.quarterly_means(holdings.sibling_overlap(X.daily_weights(spark, sf), rule_funds(spark, sf), rule_table(spark), "quarter")))
 
 
 # Instrument prices: average unit price of a part per ship month; sector levels per brand.
