@@ -174,20 +174,27 @@ def disclosure_rows(files: DataFrame) -> DataFrame:
     named_files = _fields(whole.where(F.col("_file").rlike(file)), F.get("_lines", F.lit(0)), "_first")
     heads = named_files.select(
         "_file", F.transform("_first", lambda c: F.lower(F.trim(F.regexp_replace(c, "^\ufeff", "")))).alias("_head"), F.slice("_lines", F.lit(2), F.size("_lines")).alias("_lines"))
-    dealt = heads.select("_file", "_head", F.explode("_lines").alias("_line")).where(F.trim("_line") != "")
-    lines = _fields(dealt, F.col("_line"), "_row").drop("_line")
 
-    def field(*names: str) -> Column:
-        place = F.coalesce(*[F.nullif(F.array_position("_head", n), F.lit(0)) for n in names])
-        return F.get("_row", (place - 1).cast("int"))
+    def place(*names: str) -> Column:
+        return (F.coalesce(*[F.nullif(F.array_position("_head", n), F.lit(0)) for n in names]) - 1).cast("int")
 
+    # what a header says is worked out once a file, not once a line
+    where = {"instrument": ("instrument", "name", "symbol"), "weight": ("weight",), "kind": ("asset_type", "type"), "sector": ("sector",), "cap_band": ("cap_band", "cap band", "capband")}
     known = F.arrays_overlap("_head", F.array(F.lit("asset_type"), F.lit("type")))
-    kind = F.when(known, F.lower(F.trim(field("asset_type", "type")))).otherwise("equity")
     named = F.arrays_overlap("_head", F.array(F.lit("instrument"), F.lit("name"), F.lit("symbol")))
-    out = lines.where(named).select(
+    files_read = heads.where(named).select(
         F.regexp_extract("_file", file, 1).alias("fund_id"), F.to_date(F.concat(F.regexp_extract("_file", file, 2), F.lit("-01"))).alias("as_of"),
-        F.trim(field("instrument", "name", "symbol")).alias("instrument"), finite(field("weight").try_cast("double")).alias("weight"),
-        kind.alias("asset_type"), F.trim(field("sector")).alias("sector"), F.lower(F.trim(field("cap_band", "cap band", "capband"))).alias("cap_band"))
+        known.alias("_known"), *[place(*names).alias(f"_at_{c}") for c, names in where.items()], "_lines")
+    dealt = files_read.select("*", F.explode("_lines").alias("_line")).drop("_lines").where(F.trim("_line") != "")
+    lines = _fields(dealt, F.col("_line"), "_row").drop("_line")
+
+    def field(name: str) -> Column:
+        return F.get("_row", F.col(f"_at_{name}"))
+
+    kind = F.when(F.col("_known"), F.lower(F.trim(field("kind")))).otherwise("equity")
+    out = lines.select(
+        "fund_id", "as_of", F.trim(field("instrument")).alias("instrument"), finite(field("weight").try_cast("double")).alias("weight"),
+        kind.alias("asset_type"), F.trim(field("sector")).alias("sector"), F.lower(F.trim(field("cap_band"))).alias("cap_band"))
     return out.where(F.col("weight").isNotNull())
 
 
